@@ -26,3 +26,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, score, hits, quoted_hits, terms) of the documents found toxic, by terms learnt from the labelled ones."""
+    from segtide.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    terms = toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, toxicity.compile_automaton(terms))
