@@ -36,3 +36,40 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     terms = toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, toxicity.compile_automaton(terms))
+
+
+#: Places blocked and allowed in ``pages``; nested on purpose, so that precedence matters.
+URL_ENTRIES = (
+    ("example.net", "block"), ("m.tionsh.example.net", "allow"), ("blog.example.net", "allow"), ("tionsh.example.net/en", "allow"),
+    ("example.net/es", "allow"), ("tionsh.example.net/en/1", "block"), ("adult-x.example.com", "block"), ("free-bets.example.com", "block"),
+    ("adult-x.example.org", "block"), ("free-bets.example.org", "block"), ("example.com/de", "block"), ("ththon.example.com/de", "allow"),
+    ("ththon.example.com", "block"), ("ththan.example.com/fr", "block"), ("www.example.org", "allow"), ("example.org/fr", "block"),
+)
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, verdict, entry, kept) of every page."""
+    from segtide.llm import url_filter
+
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_ENTRIES)
+
+
+ORACLES["op7_url_filter"] = rf"""
+WITH rules(entry, verdict) AS (VALUES {", ".join(f"('{e}', '{v}')" for e, v in URL_ENTRIES)}),
+r AS (
+  SELECT entry, verdict, split_part(entry, '/', 1) AS host,
+         list_filter(string_split(entry, '/')[2:], lambda x: x <> '') AS segs
+  FROM rules),
+p AS (
+  SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS segs
+  FROM pages),
+m AS (
+  SELECT p.page_id, r.entry, r.verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY len(string_split(r.host, '.')) DESC, len(r.segs) DESC, r.verdict DESC) AS k
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND p.segs[1:len(r.segs)] = r.segs)
+SELECT p.page_id, CASE WHEN p.host = '' THEN 'invalid' ELSE coalesce(m.verdict, 'allow') END AS verdict, m.entry AS entry,
+       CASE WHEN p.host = '' THEN false ELSE coalesce(m.verdict, 'allow') = 'allow' END AS kept
+FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
+"""
