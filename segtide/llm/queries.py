@@ -73,3 +73,49 @@ SELECT p.page_id, CASE WHEN p.host = '' THEN 'invalid' ELSE coalesce(m.verdict,
        CASE WHEN p.host = '' THEN false ELSE coalesce(m.verdict, 'allow') = 'allow' END AS kept
 FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
 """
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, epoch, block, key, tokens) each time that the mixture takes a document."""
+    from segtide.llm import mixing
+
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_mixing"] = r"""
+WITH RECURSIVE counted AS MATERIALIZED (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^ \t\n\r]+')) AS BIGINT) AS n
+  FROM documents WHERE len(regexp_extract_all(text, '[^ \t\n\r]+')) > 0),
+sizes AS MATERIALIZED (SELECT source, CAST(sum(n) AS BIGINT) AS size FROM counted GROUP BY source),
+all_of AS MATERIALIZED (
+  SELECT CAST(sum(size) AS DOUBLE) AS budget, count(*) AS k, list(size / (SELECT CAST(sum(size) AS DOUBLE) FROM sizes)) AS shares FROM sizes),
+bisect(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, CASE WHEN even THEN (lo + hi) / 2 ELSE lo END, CASE WHEN even THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT i, lo, hi, ln(list_sum(p)) - list_sum(list_transform(p, lambda x: x * ln(x))) / list_sum(p) >= 0.98 * ln(k) AS even
+        FROM (SELECT i, lo, hi, k, list_transform(shares, lambda x: pow(x, (lo + hi) / 2)) AS p FROM bisect, all_of WHERE i < 60))),
+whole AS (SELECT -list_sum(list_transform(shares, lambda x: x * ln(x))) >= 0.98 * ln(k) AS even FROM all_of),
+first_alpha AS MATERIALIZED (SELECT CASE WHEN k < 2 OR even THEN 1.0 ELSE lo END AS alpha FROM bisect, whole, all_of WHERE i = 60),
+rare(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, CASE WHEN good THEN lo ELSE (lo + hi) / 2 END, CASE WHEN good THEN (lo + hi) / 2 ELSE hi END
+  FROM (SELECT i, lo, hi, list_max(list_transform(shares, lambda x: pow(x, (lo + hi) / 2) / s / x)) <= 4.0 AS good
+        FROM (SELECT i, lo, hi, shares, list_sum(list_transform(shares, lambda x: pow(x, (lo + hi) / 2))) AS s FROM rare, all_of WHERE i < 60))),
+chosen AS MATERIALIZED (
+  SELECT CASE WHEN list_max(list_transform(shares, lambda x: pow(x, alpha) / s / x)) <= 4.0 THEN alpha ELSE hi END AS alpha
+  FROM (SELECT *, list_sum(list_transform(shares, lambda x: pow(x, alpha))) AS s FROM first_alpha, all_of), rare WHERE i = 60),
+goals AS MATERIALIZED (
+  SELECT source, size, CAST(floor(pow(size / budget, alpha) / (SELECT sum(pow(size / budget, alpha)) FROM sizes) * budget + 0.5) AS BIGINT) AS goal
+  FROM sizes, all_of, chosen),
+taken AS (
+  SELECT doc_id, source, n, size, goal, CAST(unnest(range(0, (goal - 1) // size + 1)) AS INTEGER) AS epoch
+  FROM counted JOIN goals USING (source) WHERE goal > 0),
+placed AS (
+  SELECT *, epoch * size + sum(n) OVER (PARTITION BY source, epoch ORDER BY md5('17:' || epoch || ':' || doc_id), doc_id, n) - sum(n) OVER (PARTITION BY source, epoch, doc_id, n) AS place FROM taken)
+SELECT doc_id, source, epoch, CAST(place * 64 // goal AS INTEGER) AS block,
+       md5('17:' || (place * 64 // goal) || ':' || epoch || ':' || doc_id) AS key, n AS tokens
+FROM placed WHERE place < goal
+"""
