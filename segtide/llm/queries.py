@@ -119,3 +119,11 @@ SELECT doc_id, source, epoch, CAST(place * 64 // goal AS INTEGER) AS block,
        md5('17:' || (place * 64 // goal) || ':' || epoch || ':' || doc_id) AS key, n AS tokens
 FROM placed WHERE place < goal
 """
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bin, doc_id, copy, piece, start, length, place) of every piece of every document."""
+    from segtide.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
