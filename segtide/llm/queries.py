@@ -127,3 +127,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from segtide.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, score, kept) of every document, by a model of the labelled ones."""
+    from segtide.llm import quality_classifier
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
