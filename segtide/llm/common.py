@@ -178,11 +178,13 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/segtide-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
-    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.options(**options).parquet(path)
+    def write(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Writes and reads back a table; after a ``small`` one there is nothing worth freeing."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
         self.paths[name] = path
-        self.release()
+        if not small:
+            self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -136,3 +136,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, distance, kept) of every document."""
+    from segtide.llm import outliers
+
+    return outliers.reject(table(spark, sf_dir, "documents"))
