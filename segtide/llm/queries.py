@@ -144,3 +144,11 @@ def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from segtide.llm import outliers
 
     return outliers.reject(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, kept_id) of every near-duplicate document and the document of its group that stays."""
+    from segtide.llm import near_dup
+
+    return near_dup.find_duplicates(table(spark, sf_dir, "documents"))
