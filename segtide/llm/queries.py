@@ -152,3 +152,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from segtide.llm import near_dup
 
     return near_dup.find_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without the lines that repeat, exactly or nearly, a line that stays elsewhere."""
+    from segtide.llm import line_dedup
+
+    return line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
