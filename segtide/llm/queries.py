@@ -160,3 +160,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from segtide.llm import line_dedup
 
     return line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, similarity) of the pairs of embeddings of a cosine similarity of at least 0.9."""
+    from segtide.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
