@@ -1,17 +1,20 @@
-"""Native tokenisers: arrays of (value, byte_start, byte_end), all inside the JVM.
+"""Native tokenisers inside the JVM, and the bytes that tokens take.
 
 Nulls give null, empty texts no tokens.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode White_Space, as a class for Java's regular expressions.
 SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_PY_SPACE = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SPACE)
 #: What Python's str.split() parts at: the same and four separators.
 PYTHON_SPACE = SPACE + r"\x{1C}-\x{1F}"
 
@@ -30,16 +33,36 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {"character": characters, "w
 
 
 def with_ranges(text: Column, tokenizer: str) -> Column:
-    """Tokens with the UTF-8 bytes they take, ends exclusive."""
-    parts = characters(text) if tokenizer == "character" else F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+|[{SPACE}]+"), 0)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,byte_start:int,byte_end:int>>").alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.octet_length(part)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(part.alias("value"), acc["at"].alias("byte_start"), end.alias("byte_end")))).alias("out"))
-
-    ranges = F.aggregate(parts, start, step, lambda a: a["out"])
-    return ranges if tokenizer == "character" else F.filter(ranges, lambda t: ~t["value"].rlike(f"^[{SPACE}]"))
+    """Tokens with the UTF-8 bytes they take, ends exclusive. An Arrow function: a running sum inside an expression would copy the array at every token."""
+    pattern = re.compile("." if tokenizer == "character" else f"[^{_PY_SPACE}]+", re.S)
+
+    @F.pandas_udf("array<struct<value:string,byte_start:int,byte_end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            rows, at, last = [], 0, 0
+            for m in pattern.finditer(t):
+                at += len(t[last : m.start()].encode("utf-8", "surrogatepass"))
+                end = at + len(m[0].encode("utf-8", "surrogatepass"))
+                rows.append({"value": m[0], "byte_start": at, "byte_end": end})
+                at, last = end, m.end()
+            out.append(rows)
+        return pd.Series(out)
+
+    return run(text)
+
+
+def byte_range(text: Column, tokenizer: str, start: Column, end: Column) -> tuple[Column, Column]:
+    """The first byte and the last byte + 1 of tokens start..end of a text, without building all tokens' ranges."""
+    if tokenizer == "character":
+        return F.octet_length(F.substring(text, F.lit(1), start)), F.octet_length(F.substring(text, F.lit(1), end))
+    parts = F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+|[{SPACE}]+"), 0)
+    lead = F.when(text.rlike(f"^[{SPACE}]"), 1).otherwise(0)
+    size = lambda n: F.octet_length(F.array_join(F.slice(parts, F.lit(1), n), ""))
+    return size(2 * start + lead), size(2 * end - 1 + lead)
 
 
 def is_single_token(text: Column, tokenizer: str) -> Column:

@@ -11,7 +11,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segtide import errors
@@ -58,6 +58,17 @@ class SegmentIndex:
             found = self.vocabulary.join(asked, "token", "left_semi")
         return {r["token"]: r["frequency"] for r in found.collect()}
 
+    def numbered_vocabulary(self) -> DataFrame:
+        """(token, symbol, frequency): numbers by falling frequency, ties by first occurrence. Numbering sorts the vocabulary as a whole; searches don't need it."""
+        first = self.postings.groupBy("token").agg(F.count("*").alias("frequency"), F.min(F.struct("seq_id", "pos")).alias("first"))
+        order = Window.orderBy(F.desc("frequency"), "first")
+        return first.select("token", (F.row_number().over(order) - 1).cast("long").alias("symbol"), "frequency")
+
+    def encode(self) -> DataFrame:
+        """(seq_id, symbols) by the numbered vocabulary; null tokens have none."""
+        coded = self.postings.join(self.numbered_vocabulary(), "token").groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "symbol"))).alias("s"))
+        return self.corpus.join(coded, "seq_id", "left").select("seq_id", F.coalesce(F.transform("s", lambda x: x["symbol"]), F.array().cast("array<long>")).alias("symbols"))
+
     def alphabet(self) -> DataFrame:
         return self.vocabulary.select("token")
 

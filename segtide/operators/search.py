@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segtide.functions.costs import CostPolicy
+from segtide.functions.tokens import byte_range
 from segtide.operators import kernels
 from segtide.operators.index import SegmentIndex
 from segtide.plans.planner import SearchMetrics, SearchParams, SearchPlan, make_plan
@@ -133,8 +134,7 @@ class Searcher:
 
 def locate(matches: DataFrame, sources: DataFrame, tokenizer: str) -> DataFrame:
     """(seq_id, distance, byte_start, byte_end, matched_text) of matches in ``sources`` (seq_id, text)."""
-    from segtide.functions.tokens import with_ranges
-
-    hit = matches.join(sources.select("seq_id", "text"), "seq_id").withColumn("t", with_ranges(F.col("text"), tokenizer))
-    first, last = F.expr("t[start].byte_start"), F.expr("t[end - 1].byte_end")
-    return hit.select("seq_id", "distance", first.alias("byte_start"), last.alias("byte_end"), F.expr("decode(substring(encode(text, 'utf-8'), t[start].byte_start + 1, t[end - 1].byte_end - t[start].byte_start), 'utf-8')").alias("matched_text"))
+    hit = matches.join(sources.select("seq_id", "text"), "seq_id")
+    first, last = byte_range(F.col("text"), tokenizer, F.col("start"), F.col("end"))
+    hit = hit.select("seq_id", "distance", first.alias("byte_start"), last.alias("byte_end"), "text")
+    return hit.withColumn("matched_text", F.expr("decode(substring(encode(text, 'utf-8'), byte_start + 1, byte_end - byte_start), 'utf-8')")).drop("text")
