@@ -12,7 +12,7 @@ enumeration; the best-fit incumbent
 stands where it finds nothing better, so every piece is placed in any case.
 
 Defined results: a document without tokens or with a null text has no piece.
-Repeated rows are documents of their own, told apart by ``copy``. Pieces of
+Repeated rows are documents of their own, told apart by ``copy`` (in order of length). Pieces of
 equal length are interchangeable and placed in order of (identifier, copy,
 piece). An empty table gives no rows; other columns are not looked at,
 whatever their names. Very long texts are packed whole.
@@ -25,7 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segtide.llm.common import Scratch
@@ -143,7 +143,8 @@ def pack(
     alike = counted.groupBy("id", "n").agg(F.count("*").alias("c"))  # repeated rows are numbered without sorting a table
     total = counted.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
     groups = max(1, -(-int(total) // group_size))
-    rows = alike.select("id", "n", F.explode(F.expr("sequence(0, cast(c - 1 as int))")).alias("copy"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = alike.withColumn("before", before).select("id", "n", F.explode(F.expr("sequence(cast(before as int), cast(before + c - 1 as int))")).alias("copy"))
     rows = rows.select("id", "copy", "n", F.explode(F.expr(f"sequence(0, cast((n - 1) div {capacity} as int))")).alias("piece"))
     pieces = rows.select("id", "copy", "piece", F.expr(f"piece * {capacity}L").alias("start"), F.least(F.lit(capacity).cast("long"), F.expr(f"n - piece * {capacity}L")).alias("length"))
     pieces = pieces.withColumn("g", F.pmod(F.xxhash64("id", "copy", "piece"), F.lit(groups)).cast("long"))
