@@ -151,10 +151,12 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, as in tests, one is made."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset in local mode, as in tests, one is made."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='segtide-')}"
         sc.setCheckpointDir(path)
     return path
