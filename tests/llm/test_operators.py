@@ -273,6 +273,27 @@ def test_fuzzy_lines(spark):
     assert line_dedup.drop_repeats(d.limit(0)).count() == 0
 
 
+def test_line_pairs_are_found_at_every_length(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows, tries = [], {}
+    for low, high in ((5, 9), (10, 19), (20, 39), (40, 120), (150, 400)):
+        for _ in range(120):
+            line = prose(rng, words, rng.randint(low, high)).split()
+            other, n = list(line), len(line)
+            for _ in range(max(1, n // 15)):
+                at, what = rng.randrange(len(other)), rng.randrange(3)
+                other[at : at + (what > 0)] = [rng.choice(words)] * (what < 2)
+            x, y = " ".join(line), " ".join(other)
+            if x != y and len(other) >= 5 and edit.within([x], [y], np.array([int(0.15 * max(len(x), len(y)) + 1e-9)]))[0]:
+                tries.setdefault(low, []).append(len(rows))
+                rows += [(len(rows), x, "en", "s"), (len(rows) + 1, y, "en", "s")]
+    left = {r["doc_id"] for r in line_dedup.drop_repeats(docs(spark, rows)).collect() if r["text"]}
+    for low, firsts in tries.items():
+        assert len(firsts) >= 20 and sum(i in left and i + 1 not in left for i in firsts) >= 0.9 * len(firsts), low
+    assert all(i in left for firsts in tries.values() for i in firsts)
+
+
 # ---------------------------------------------------------------- embeddings
 
 
