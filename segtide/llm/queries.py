@@ -159,7 +159,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without the lines that repeat, exactly or nearly, a line that stays elsewhere."""
     from segtide.llm import line_dedup
 
-    return line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return line_dedup.drop_repeats(table(spark, sf_dir, "documents"), short_exact=True)
 
 
 @query

@@ -294,6 +294,12 @@ def test_line_pairs_are_found_at_every_length(spark):
     assert all(i in left for firsts in tries.values() for i in firsts)
 
 
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "see also\nOne", "en", "s"), (2, "See  also!\nsee alsO too\none", "en", "s"), (3, "see also\n\n--", "en", "s")]
+    out = line_dedup.drop_repeats(docs(spark, rows), short_exact=True, drop_emptied=True)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "see also\nOne"), (2, "see alsO too"), (3, "\n--")]
+
+
 # ---------------------------------------------------------------- embeddings
 
 
