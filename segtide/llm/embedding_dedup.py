@@ -1,5 +1,6 @@
 """Embedding near-duplicates by NN-descent.
 
+Equal vectors are one node, and their pairs are written out at the end.
 Every vector keeps a list of its ``k`` nearest by cosine. Lists start from the
 leaves of a few random hyperplane codes; then each round compares, at every
 vector, its neighbours and reverse neighbours with each other, where at least
@@ -7,7 +8,7 @@ one is new, until hardly any list changes. A vector whose list is full of
 neighbours within the threshold is saturated: its list is enlarged to hold all
 of its connected group in the threshold graph, compared block by block. The
 recall is audited against brute force for ``audit`` vectors chosen by hash; below
-``target`` the lists are doubled and refined again. Edges of at least
+``target`` the lists are doubled and refined again, and after the last time all pairs are compared block by block. Edges of at least
 ``threshold`` are kept, with exactly recomputed similarities.
 
 Shuffled vectors have half precision; the sizes of what is broadcast (the
@@ -54,7 +55,7 @@ def _vectors(table: DataFrame, id_col: str, vector_col: str, scratch: Scratch) -
             x = np.array([np.array([np.nan if y is None else y for y in r], np.float64) for r in batch.column("e").to_pylist()]).reshape(-1, dim)
             norm = np.linalg.norm(x, axis=1)
             ok = np.isfinite(norm) & (norm > 0)
-            x = (x[ok] / norm[ok, None]).astype(np.float32)
+            x = (x[ok] / norm[ok, None]).astype(np.float32) + np.float32(0)  # one zero
             yield pa.record_batch([batch.column("id").filter(pa.array(ok)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["id", "v", "w"])
 
     unit_rows = rows.where(F.size("e") == dim).groupBy("id").agg(F.min("e").alias("e")).mapInArrow(unit, f"id {kind}, v binary, w binary")
@@ -87,15 +88,16 @@ def _leaf_edges(vectors: DataFrame, dim: int, kind: str, bits: int, trees: int,
             a, b, s = [], [], []
             x = _matrix(t.column("w"), dim, True)
             for lo, hi in _pieces(t, "leaf"):
-                for at in range(lo, hi, 512):  # a large leaf is cut: its parts meet in later rounds
+                if hi - lo < 2:
+                    continue
+                most = min(k, hi - lo - 1)
+                for at in range(lo, hi, 512):  # some rows at a time, against the whole leaf
                     n = min(at + 512, hi) - at
-                    if n < 2:
-                        continue
-                    sim = x[at : at + n] @ x[at : at + n].T
-                    np.fill_diagonal(sim, -2)
-                    top = np.argpartition(-sim, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
-                    a.append(np.repeat(np.arange(at, at + n), top.shape[1]))
-                    b.append(top.ravel() + at)
+                    sim = x[at : at + n] @ x[lo:hi].T
+                    sim[np.arange(n), np.arange(at - lo, at - lo + n)] = -2
+                    top = np.argpartition(-sim, most - 1, axis=1)[:, :most]
+                    a.append(np.repeat(np.arange(at, at + n), most))
+                    b.append(top.ravel() + lo)
                     s.append(np.take_along_axis(sim, top, axis=1).ravel())
             if a:
                 ids = t.column("id").combine_chunks()
@@ -201,6 +203,15 @@ def _audit(edges: DataFrame, vectors: DataFrame, dim: int, kind: str, threshold:
     return row[1] / row[0] if row[0] else 1.0
 
 
+def _expanded(edges: DataFrame, copies: DataFrame) -> DataFrame:
+    """(a, b, similarity): ``edges`` of nodes for all equal vectors (node, copy), and the pairs of equal ones."""
+    x, y = (copies.select(F.col("node").alias(n), F.col("copy").alias(f"{n}2")) for n in ("a", "b"))
+    a, b = F.coalesce("a2", "a"), F.coalesce("b2", "b")
+    pairs = edges.join(x, "a", "left").join(y, "b", "left").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col("s").alias("similarity"))
+    equal = x.join(y, F.col("a") == F.col("b")).where("a2 < b2").select(F.col("a2").alias("a"), F.col("b2").alias("b"), F.lit(1.0).cast("float").alias("similarity"))
+    return pairs.unionByName(equal)
+
+
 def near_duplicates(
     table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, k: int = 12, leaf: int = 64, trees: int = 4,
     rounds: int = 8, settled: float = 0.01, audit: int = 256, target: float = 0.97, enlargements: int = 3, seed: int = 13,
@@ -208,12 +219,14 @@ def near_duplicates(
     """(a, b, similarity) of the pairs a < b of cosine similarity of at least ``threshold``."""
     scratch = Scratch(table.sparkSession)
     kind = table.schema[id_col].dataType.simpleString()
-    vectors, dim = _vectors(table, id_col, vector_col, scratch)
+    every, dim = _vectors(table, id_col, vector_col, scratch)
+    groups = scratch.write(every.groupBy("v").agg(F.min("id").alias("id"), F.first("w").alias("w"), F.collect_list("id").alias("same")), "nodes")
+    vectors, copies = groups.select("id", "v", "w"), groups.where(F.size("same") > 1).select(F.col("id").alias("node"), F.explode("same").alias("copy"))
     size = vectors.count()
     bits = max(0, math.ceil(math.log2(max(size, 1) / leaf)))
     graph, edges = None, None
     if size < 2:
-        return vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).cast("float").alias("similarity")).limit(0)
+        return _expanded(vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).cast("float").alias("s")).limit(0), copies)
     for enlarged in range(enlargements + 1):
         seeds = _leaf_edges(vectors, dim, kind, bits, trees, k, seed + enlarged).withColumn("fresh", F.lit(1))
         graph = scratch.write(_nearest(seeds if graph is None else seeds.unionByName(graph.select("a", "b", "s", "fresh")), k).drop("r"), "graph")
@@ -238,4 +251,6 @@ def near_duplicates(
         if _audit(edges, vectors, dim, kind, threshold, audit, size) >= target:
             break
         k *= 2
-    return edges.select("a", "b", F.col("s").alias("similarity"))
+    else:
+        edges = scratch.write(_group_edges(vectors.select(F.lit(0).alias("g"), "id", "v"), dim, kind, threshold), "edges")
+    return _expanded(edges, copies)

@@ -319,6 +319,19 @@ def test_nn_descent_recall(spark):
     assert embedding_dedup.near_duplicates(t.limit(0)).count() == 0
 
 
+def test_equal_vectors_and_the_exact_pass(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    X = rng.standard_normal((900, 8))
+    X[100:800] = X[100]  # more than a list and a piece of a leaf hold
+    X[800] = X[100] + 0.01
+    t = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "vec_id long, embedding array<double>")
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    true = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(U @ U.T >= 0.9, 1)))}
+    monkeypatch.setattr(embedding_dedup, "_audit", lambda *a: 0.0)  # whatever the lists hold
+    got = [(r["a"], r["b"]) for r in embedding_dedup.near_duplicates(t, k=1, rounds=0, enlargements=0).collect()]
+    assert len(got) == len(set(got)) and set(got) == true
+
+
 # ---------------------------------------------------------------- mixing, packing, URLs
 
 
