@@ -7,8 +7,10 @@ vector, its neighbours and reverse neighbours with each other, where at least
 one is new, until hardly any list changes. A vector whose list is full of
 neighbours within the threshold is saturated: its list is enlarged to hold all
 of its connected group in the threshold graph, compared block by block. The
-recall is audited against brute force for ``audit`` vectors chosen by hash; below
-``target`` the lists are doubled and refined again, and after the last time all pairs are compared block by block. Edges of at least
+recall is audited against brute force, as the mean over vectors that have a true
+neighbour, of ``audit`` vectors chosen by hash or more until ``AUDITED`` have one; where none of
+``MOST_AUDITED`` has, nothing is known of the recall. Then, and below
+``target``, the lists are doubled and refined again, and after the last time all pairs are compared block by block. Edges of at least
 ``threshold`` are kept, with exactly recomputed similarities.
 
 Shuffled vectors have half precision; the sizes of what is broadcast (the
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from segtide.llm.common import Scratch, components, key_runs
 
 BLOCK = 2048
+AUDITED, MOST_AUDITED = 64, 1 << 15
 
 
 def _matrix(column, dim: int, half: bool) -> np.ndarray:
@@ -184,23 +187,32 @@ def _exact(edges: DataFrame, vectors: DataFrame, dim: int, kind: str, threshold:
     return both.select("a", "b", "va", "vb").mapInArrow(compute, f"a {kind}, b {kind}, s float")
 
 
-def _audit(edges: DataFrame, vectors: DataFrame, dim: int, kind: str, threshold: float, audit: int, size: int) -> float:
-    """The share of the true edges of about ``audit`` vectors that ``edges`` has."""
-    share = min(1.0, audit / max(size, 1))
-    chosen = vectors.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(math.ceil(1e6 * share))).select("id", "v").toArrow()
-    if not chosen.num_rows:
-        return 1.0
+def _audit(edges: DataFrame, vectors: DataFrame, dim: int, kind: str, threshold: float, audit: int, size: int) -> float | None:
+    """The mean share of their true edges that ``edges`` has of vectors that have any, of ``audit`` or more; None where too few were looked at to see any."""
+    while True:
+        share = min(1.0, audit / max(size, 1))
+        chosen = vectors.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(math.ceil(1e6 * share))).select("id", "v").toArrow()
+        seen, recall = _vector_recall(edges, vectors, chosen, dim, kind, threshold) if chosen.num_rows else (0, None)
+        if seen >= AUDITED or share == 1.0 or audit >= MOST_AUDITED:
+            return 1.0 if share == 1.0 and not seen else recall
+        audit = min(audit * 8, MOST_AUDITED)
+
+
+def _vector_recall(edges: DataFrame, vectors: DataFrame, chosen: pa.Table, dim: int, kind: str, threshold: float) -> tuple[int, float | None]:
+    """(vectors of ``chosen`` that have a true edge, the mean of their recall)."""
     ids, x = chosen.column("id").combine_chunks(), _matrix(chosen.column("v"), dim, False)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = _matrix(batch.column("v"), dim, False)
-            i, j = np.nonzero(x @ y.T >= threshold)
-            yield pa.record_batch([ids.take(pa.array(i)), batch.column("id").take(pa.array(j))], names=["a", "b"])
+            for at in range(0, len(x), BLOCK):
+                i, j = np.nonzero(x[at : at + BLOCK] @ y.T >= threshold)
+                if len(i):
+                    yield pa.record_batch([ids.take(pa.array(i + at)), batch.column("id").take(pa.array(j))], names=["x", "y"])
 
-    true = vectors.select("id", "v").mapInArrow(scan, f"a {kind}, b {kind}").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    row = true.join(edges.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return row[1] / row[0] if row[0] else 1.0
+    true = vectors.select("id", "v").mapInArrow(scan, f"x {kind}, y {kind}").where("x <> y").select("x", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    hits = true.join(edges.select("a", "b", F.lit(1.0).alias("hit")), ["a", "b"], "left").groupBy("x").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("r"))
+    return tuple(hits.agg(F.count("*"), F.avg("r")).first())
 
 
 def _expanded(edges: DataFrame, copies: DataFrame) -> DataFrame:
@@ -234,8 +246,7 @@ def near_duplicates(
             cand = _round(graph, vectors, dim, kind, k)
             old = graph.select("a", "b", "s").withColumn("fresh", F.lit(0))
             graph = scratch.write(_nearest(old.unionByName(cand), k).drop("r"), "graph")
-            new, near_new, near_all = graph.agg(F.sum("fresh"), F.sum(F.when(F.col("s") >= threshold, F.col("fresh"))), F.count(F.when(F.col("s") >= threshold, 1))).first()
-            if new <= settled * size * k or (near_new or 0) <= settled * near_all:
+            if graph.agg(F.sum("fresh")).first()[0] <= settled * size * k:
                 break
         near = graph.where(F.col("s") >= threshold)
         full = near.groupBy("a").count().where(F.col("count") >= k).select(F.col("a").alias("id"))
@@ -248,7 +259,8 @@ def near_duplicates(
             tagged = vectors.select("id", "v").join(linked, number == F.col("node")).select("id", "v", F.col("root").alias("g"))
             wide = tagged.join(full, "id").select("g").distinct()
             edges = scratch.write(plain.unionByName(_group_edges(tagged.join(wide, "g"), dim, kind, threshold)).groupBy("a", "b").agg(F.max("s").alias("s")), "edges")
-        if _audit(edges, vectors, dim, kind, threshold, audit, size) >= target:
+        found = _audit(edges, vectors, dim, kind, threshold, audit, size)
+        if found is not None and found >= target:
             break
         k *= 2
     else:

@@ -332,6 +332,16 @@ def test_equal_vectors_and_the_exact_pass(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == true
 
 
+def test_audit_counts_vectors_with_a_neighbour(spark):
+    X = np.eye(64, dtype=np.float32)[np.concatenate((np.zeros(30, int), np.arange(1, 31).repeat(2)))]  # a group and 30 pairs
+    v = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(X)], "id long, v binary")
+    group = spark.createDataFrame([(i, j) for i in range(30) for j in range(i + 1, 30)], "a long, b long")
+    audit = lambda edges, table: embedding_dedup._audit(edges, table, 64, "bigint", 0.9, 8, table.count())
+    assert abs(audit(group, v) - 1 / 3) < 1e-6  # of all edges 94 % are there, of most vectors none
+    assert audit(group.limit(0), v.where("id = 0 OR id >= 30 AND id % 2 = 0")) == 1.0
+    assert embedding_dedup._audit(group, v.limit(0), 64, "bigint", 0.9, 1 << 15, 1 << 20) is None
+
+
 # ---------------------------------------------------------------- mixing, packing, URLs
 
 
