@@ -7,10 +7,13 @@ single floats throughout. A token costs nothing against itself.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Hashable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
 from segtide import errors
 
@@ -122,6 +125,7 @@ class EmbeddingStore:
     def __init__(self, vectors: Mapping[Token, object], dimension: int | None = None):
         self.dimension = dimension
         self._rows: dict[Token, np.ndarray] = {}
+        self.rejected: list[Token] = []  #: tokens of a snapshot whose rows were none
         for token, v in vectors.items():
             self.insert(token, v)
 
@@ -151,7 +155,9 @@ class EmbeddingStore:
         return self._matrix
 
     def verify(self, tolerance: float = 1e-5) -> None:
-        """Raises unless every vector is finite, of one dimension and of norm 1."""
+        """Raises unless every vector is finite, of one dimension and of norm 1, and none was rejected on opening."""
+        if self.rejected:
+            raise errors.CorruptIndex(f"{len(self.rejected)} vectors are none, that of {self.rejected[0]!r} first")
         for token, v in self._rows.items():
             if v.shape != (self.dimension,) or not np.isfinite(v).all() or abs(np.linalg.norm(v.astype(np.float64)) - 1) > tolerance:
                 raise errors.CorruptIndex(f"the vector of {token!r} is not a unit vector of {self.dimension} values")
@@ -183,6 +189,111 @@ class CosineCosts(CostPolicy):
         return {}, self.insertion_cost
 
 
+@dataclass
+class CosineRows(CostPolicy):
+    """Cosine costs of the query tokens alone: ``near`` has, of each, the tokens that cost less than ``missing``."""
+
+    near: dict[Token, dict[Token, np.float32]]
+    missing: float = 1.0
+    deletion_cost: float = 1.0
+    insertion_cost: float = 1.0
+
+    def row(self, token, vocabulary=None):
+        return {**self.near.get(token, {}), token: F32(0)}, cost(self.missing)
+
+    def deletion(self, token):
+        return cost(self.deletion_cost)
+
+    def insertions(self, vocabulary=None):
+        return {}, cost(self.insertion_cost)
+
+
+def normalized(vectors):
+    """A column of vectors, each as ``unit_vector`` makes it; null gives null, an invalid vector an error."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("array<float>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda v: None if v is None else unit_vector(v))
+
+    return run(vectors)
+
+
+def cosine_rows(asked, vectors, block: int = 512):
+    """(query_token, token, cost) of all pairs of ``asked`` and ``vectors`` (token, embedding), computed on the executors.
+
+    ``asked`` is sent to them ``block`` by ``block``. Null tokens and vectors take no part.
+    """
+    from pyspark.sql import functions as F
+
+    kind = vectors.schema["token"].dataType.simpleString()
+    rows = asked.where("token IS NOT NULL AND embedding IS NOT NULL").toLocalIterator()
+    out = None
+    while part := [(r["token"], unit_vector(r["embedding"])) for r in itertools.islice(rows, block)]:
+        names, x = [t for t, _ in part], np.stack([v for _, v in part])
+        shared = vectors.sparkSession.sparkContext.broadcast((names, x))
+
+        def run(batches, shared=shared):
+            names, x = shared.value
+            for batch in batches:
+                tokens = batch.column("token")
+                y = np.stack([unit_vector(v, x.shape[1]) for v in batch.column("embedding").to_pylist()])
+                for at in range(0, len(y), 512):
+                    d = np.clip(F32(1) - x @ y[at : at + 512].T, F32(0), F32(1)).astype(np.float32)
+                    here = tokens.slice(at, 512)
+                    d[np.array(names, dtype=object)[:, None] == np.array(here.to_pylist(), dtype=object)[None, :]] = 0
+                    n = len(here)
+                    yield pa.record_batch([pa.array(names).take(pa.array(np.repeat(np.arange(len(names)), n))), here.take(pa.array(np.tile(np.arange(n), len(names)))), pa.array(d.ravel())], names=["query_token", "token", "cost"])
+
+        found = vectors.where("token IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, f"query_token {kind}, token {kind}, cost float")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else vectors.limit(0).select(F.col("token").alias("query_token"), "token", F.lit(0.0).cast("float").alias("cost"))
+
+
+def cosine_policy(store: EmbeddingStore, vectors, query, missing: float = 1.0, deletion: float = 1.0, insertion: float = 1.0) -> CosineRows:
+    """Cosine costs of a query's tokens, whose vectors are in ``store``, against a table (token, embedding) that stays where it is.
+
+    Only what costs other than ``missing`` comes to the driver.
+    """
+    session = vectors.sparkSession
+    kind = vectors.schema["token"].dataType.simpleString()
+    asked = [(t, [float(v) for v in store.get(t)]) for t in dict.fromkeys(query) if store.get(t) is not None]
+    if not asked:
+        return CosineRows({}, missing, deletion, insertion)
+    near: dict = {}
+    for r in cosine_rows(session.createDataFrame(asked, f"token {kind}, embedding array<float>"), vectors).where(f"cost <> float({float(cost(missing))})").toLocalIterator():
+        near.setdefault(r["query_token"], {})[r["token"]] = F32(r["cost"])
+    return CosineRows(near, missing, deletion, insertion)
+
+
+@dataclass
+class CountingCosts(CostPolicy):
+    """Another policy, with the number of token costs it was asked for: substitutions as far as a row lists them, deletions, insertions."""
+
+    inner: CostPolicy
+    substitutions_asked: int = 0
+    deletions_asked: int = 0
+    insertions_asked: int = 0
+
+    @property
+    def needs_vocabulary(self) -> bool:
+        return self.inner.needs_vocabulary
+
+    def row(self, token, vocabulary=None):
+        found = self.inner.row(token, vocabulary)
+        self.substitutions_asked += len(found[0])
+        return found
+
+    def deletion(self, token):
+        self.deletions_asked += 1
+        return self.inner.deletion(token)
+
+    def insertions(self, vocabulary=None):
+        found = self.inner.insertions(vocabulary)
+        self.insertions_asked += len(found[0])
+        return found
+
+
 @dataclass
 class FunctionCosts(CostPolicy):
     """Any three functions of tokens; they are asked for the whole vocabulary."""

@@ -19,6 +19,33 @@ from segtide import errors
 VERSION = 1
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _hadoop(spark, path)
+    return fs.exists(target)
+
+
+def put_in_place(spark: SparkSession, part: str, path: str) -> None:
+    """Renames a finished folder to ``path``; what was there is kept beside it until that is done, and comes back if it fails."""
+    fs, target = _hadoop(spark, path)
+    _, ready = _hadoop(spark, part)
+    old = None
+    if fs.exists(target):
+        _, old = _hadoop(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.old")
+        if not fs.rename(target, old):
+            raise OSError(f"could not move the old {path} aside")
+    if not fs.rename(ready, target):
+        if old is not None:
+            fs.rename(old, target)
+        raise OSError(f"could not put {path} in place")
+    if old is not None:
+        fs.delete(old, True)
+
+
 @dataclass
 class SegmentIndex:
     """``corpus`` (seq_id, tokens), ``vocabulary`` (token, frequency), ``postings`` (token, seq_id, pos)."""
@@ -34,7 +61,11 @@ class SegmentIndex:
 
     @classmethod
     def build(cls, sequences: DataFrame, id_col: str = "seq_id", tokens_col: str = "tokens", tokenizer: str | None = None) -> "SegmentIndex":
-        """From any DataFrame of identified arrays; null arrays count as empty, null tokens are not allowed to match."""
+        """From any DataFrame of identified arrays; null arrays count as empty.
+
+        A null token has no frequency and no posting, so it anchors nothing and equals no query token; in a match it
+        takes a place, at the cost of a token that the policy knows nothing of.
+        """
         corpus = sequences.select(F.col(id_col).cast("long").alias("seq_id"), F.coalesce(F.col(tokens_col), F.array().cast(sequences.schema[tokens_col].dataType)).alias("tokens"))
         postings = corpus.select("seq_id", F.posexplode("tokens").alias("pos", "token")).where("token IS NOT NULL").select("token", "seq_id", "pos")
         vocabulary = postings.groupBy("token").agg(F.count("*").alias("frequency"))
@@ -69,16 +100,22 @@ class SegmentIndex:
         coded = self.postings.join(self.numbered_vocabulary(), "token").groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "symbol"))).alias("s"))
         return self.corpus.join(coded, "seq_id", "left").select("seq_id", F.coalesce(F.transform("s", lambda x: x["symbol"]), F.array().cast("array<long>")).alias("symbols"))
 
+    def decode(self, coded: DataFrame) -> DataFrame:
+        """(seq_id, tokens) of (seq_id, symbols) as ``encode`` gives them; a symbol that no token has is an error."""
+        one = coded.select("seq_id", F.posexplode_outer("symbols").alias("pos", "symbol"))
+        named = one.join(self.numbered_vocabulary().select("token", "symbol"), "symbol", "left")
+        token = F.when(F.col("symbol").isNotNull() & F.col("token").isNull(), F.raise_error(F.concat(F.lit("no token has symbol "), F.col("symbol")))).otherwise(F.col("token"))
+        rows = named.withColumn("token", token).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.when(F.col("symbol").isNotNull(), F.struct("pos", "token")))).alias("t"))
+        return rows.select("seq_id", F.transform("t", lambda x: x["token"]).alias("tokens"))
+
     def alphabet(self) -> DataFrame:
         return self.vocabulary.select("token")
 
     def save(self, path: str) -> "SegmentIndex":
         """Writes the tables beside ``path``, then puts them in its place; metadata come last. Returns the saved index."""
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         part = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.part"
-        self.corpus.write.parquet(f"{part}/corpus")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.corpus.repartition(parts, "seq_id").write.parquet(f"{part}/corpus")  # a table of one file becomes one of many
         corpus = self.spark.read.parquet(f"{part}/corpus")
         fresh = SegmentIndex.build(corpus, tokenizer=self.tokenizer)
         fresh.vocabulary.sortWithinPartitions("token").write.parquet(f"{part}/vocabulary")
@@ -86,9 +123,7 @@ class SegmentIndex:
         row = self.spark.read.parquet(f"{part}/vocabulary").agg(F.coalesce(F.sum("frequency"), F.lit(0)), F.count("*")).first()
         meta = {"version": VERSION, "tokenizer": self.tokenizer, "token_type": self.token_type, "sequence_count": corpus.count(), "total_tokens": int(row[0]), "vocabulary_size": int(row[1])}
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{part}/metadata")
-        fs.delete(target, True)
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(part), target):
-            raise OSError(f"could not put the index in place at {path}")
+        put_in_place(self.spark, part, path)
         return SegmentIndex.open(self.spark, path)
 
     @classmethod
@@ -104,6 +139,9 @@ class SegmentIndex:
         if meta["version"] != VERSION:
             raise errors.UnsupportedVersion(f"index version {meta['version']}; expected {VERSION}")
         t = meta["token_type"]
+        missing = [n for n in ("corpus", "vocabulary", "postings") if not _exists(spark, f"{path}/{n}")]
+        if missing:
+            raise errors.InvalidFile(f"{path} lacks the tables {missing}")
         return cls(
             spark, spark.read.schema(f"seq_id long, tokens array<{t}>").parquet(f"{path}/corpus"), spark.read.schema(f"token {t}, frequency long").parquet(f"{path}/vocabulary"),
             spark.read.schema(f"token {t}, seq_id long, pos int").parquet(f"{path}/postings"), t, meta["tokenizer"], meta["total_tokens"], meta["vocabulary_size"],
@@ -119,6 +157,7 @@ class SegmentIndex:
             "token without posting": real.join(self.postings, key, "left_anti"),
             "repeated posting": self.postings.groupBy(*key).count().where("count > 1"),
             "wrong frequency": self.vocabulary.join(counted, "token", "full").where("NOT (frequency <=> n)"),
+            "repeated token": self.vocabulary.groupBy("token").count().where("count > 1"),
             "repeated sequence": self.corpus.groupBy("seq_id").count().where("count > 1"),
         }
         out = None

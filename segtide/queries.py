@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtide.functions.costs import CosineCosts, EmbeddingStore, RuleCosts, UnitCosts
+from segtide import errors
+from segtide.functions.costs import EmbeddingStore, RuleCosts, UnitCosts, cosine_policy, cosine_rows, normalized
 from segtide.functions.normalize import normalize
 from segtide.functions.tokens import TOKENIZERS, flatten, with_ranges
 from segtide.operators.index import SegmentIndex
 from segtide.operators.search import locate
 from segtide.plans.planner import SearchParams
+from segtide.sources.shared import saved_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,8 +43,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> SegmentIndex:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return SegmentIndex.build(docs.select(F.col("doc_id").alias("seq_id"), TOKENIZERS["whitespace"](F.col("text")).alias("tokens")), tokenizer="whitespace")
+    """Built and saved once for a table of documents, then opened."""
+    make = lambda docs: SegmentIndex.build(docs.select(F.col("doc_id").alias("seq_id"), TOKENIZERS["whitespace"](F.col("text")).alias("tokens")), tokenizer="whitespace")
+    return saved_index(spark, f"{sf_dir}/documents.parquet", make, "documents")
 
 
 def item_words(spark: SparkSession, sf_dir: str, item: int = 16, n: int = 6) -> list[str]:
@@ -119,9 +122,12 @@ def postings(spark, sf_dir):
 _CONV = f"SELECT conv_id * 1000 + turn AS seq_id, unnest(range(len({WORDS}))) AS pos, unnest({WORDS}) AS tok FROM conversations"
 
 
+def _turns(conversations):
+    return conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), TOKENIZERS["whitespace"](F.col("text")).alias("tokens"))
+
+
 def conversation_index(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), TOKENIZERS["whitespace"](F.col("text")).alias("tokens"))
-    return SegmentIndex.build(turns)
+    return saved_index(spark, f"{sf_dir}/conversations.parquet", lambda t: SegmentIndex.build(_turns(t), tokenizer="whitespace"), "conversations")
 
 
 @query(f"""
@@ -141,7 +147,7 @@ def encode_sequences(spark, sf_dir):
 
 def document_search(spark, sf_dir, costs, tau, words=None, **options):
     index = document_index(spark, sf_dir)
-    return index.searcher(costs).search(words or item_words(spark, sf_dir), SearchParams(tau), access="scan", **options)
+    return index.searcher(costs).search(words or item_words(spark, sf_dir), SearchParams(tau), **options)
 
 
 @query(dp_sql(DOCS, item_sql(), 6, 0.0))
@@ -175,11 +181,53 @@ def oov_query_search(spark, sf_dir):
     return as_rows(document_search(spark, sf_dir, UnitCosts(), 2.0, ["no-such-word", "of", "the", "no-such-word"]))
 
 
-@query(" UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS query_id, * FROM ({dp_sql(DOCS, item_sql(4, i), 4, 1.0)})" for n, i in enumerate((16, 33, 39))))
+@query()
 def batch_search(spark, sf_dir):
-    index = document_index(spark, sf_dir)
-    found = index.searcher(UnitCosts()).search_many([item_words(spark, sf_dir, i, 4) for i in (16, 33, 39)], SearchParams(1.0), access="scan")
-    return found.select("query_id", *as_rows(found).columns[:1], F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("distance").cast("double").alias("distance"))
+    """Every item of the benchmark as a query, whole, over all documents. Too much for the recursive SQL; tests hold it against brute force."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), TOKENIZERS["whitespace"](F.col("text")).alias("tokens"))
+    found = document_index(spark, sf_dir).searcher(UnitCosts()).search_table(items, SearchParams(2.0))
+    return found.select("query_id", *[F.col(c) for c in as_rows(found).columns[:1]], F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("distance").cast("double").alias("distance"))
+
+
+@query(f"""
+WITH t AS ({_CONV})
+SELECT seq_id, CAST(pos AS BIGINT) AS pos, tok AS token FROM t""")
+def decode_sequences(spark, sf_dir):
+    index = conversation_index(spark, sf_dir)
+    return index.decode(index.encode()).select("seq_id", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+
+
+#: One rare and two common words; the threshold lies below one deletion, so one position alone has to be met.
+_RARE = ["the", "with", "the"]
+
+
+@query(dp_sql(DOCS, literal_sql(_RARE), 3, 0.5))
+def postings_search(spark, sf_dir):
+    """By the saved postings, whatever their number."""
+    return as_rows(document_index(spark, sf_dir).searcher(UnitCosts()).search(_RARE, SearchParams(0.5), access="postings"))
+
+
+_WIDE = RuleCosts(2.0, 2.0, 2.0, {("of", "and"): 1.125, ("and", "of"): 1.125}, {"the": 0.125})
+
+
+@query(dp_sql(DOCS, literal_sql(["the", "of", "and"]), 3, 3.0, "CASE WHEN {q} = {t} THEN 0.0 WHEN {q} = 'of' AND {t} = 'and' OR {q} = 'and' AND {t} = 'of' THEN 1.125 ELSE 2.0 END", ["0.125", "2.0", "2.0"], "2.0"))
+def widened_search(spark, sf_dir):
+    """At the first radius, 1.0, avoiding all positions costs 2.375, less than the threshold; it has to be widened."""
+    found, metrics = document_index(spark, sf_dir).searcher(_WIDE).search_with_metrics(["the", "of", "and"], SearchParams(3.0))
+    assert metrics.adjusted_eta is not None
+    return as_rows(found)
+
+
+@query(f"SELECT reason, candidates FROM (SELECT 'SearchTooExpensive' AS reason, count(*) AS candidates FROM ({DOCS}) WHERE tok = 'with' HAVING count(*) > 1) UNION ALL SELECT 'ThresholdUnavailable', CAST(NULL AS BIGINT)")
+def declined_searches(spark, sf_dir):
+    """What a search declines before it reads: more candidates than allowed, and a threshold that deletes the query."""
+    searcher, rows = document_index(spark, sf_dir).searcher(UnitCosts()), []
+    for query_, params in ((_RARE, SearchParams(0.5, max_candidates=1)), (["the", "of"], SearchParams(2.0))):
+        try:
+            searcher.search(query_, params)
+        except errors.SegtideError as e:
+            rows.append((type(e).__name__, getattr(e, "candidates", None)))
+    return spark.createDataFrame(rows, "reason string, candidates long")
 
 
 @query(f"SELECT CAST(1 AS INTEGER) AS query_pos, tok AS token, CAST(seq_id AS BIGINT) AS seq_id, CAST(pos AS BIGINT) AS pos FROM ({DOCS}) WHERE tok = 'with'")
@@ -244,12 +292,12 @@ def dialogue_search(spark, sf_dir):
     return as_rows(conversation_index(spark, sf_dir).searcher(UnitCosts()).search(["the", "of", "the"], SearchParams(1.0)))
 
 
-@query("SELECT vec_id, CAST(round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 3) AS DOUBLE) AS norm FROM embeddings")
+@query("""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)
+SELECT vec_id, CAST(unnest(range(len(e))) AS BIGINT) AS pos, CAST(CAST(unnest(e) / n AS FLOAT) AS DOUBLE) AS value FROM v""")
 def l2_normalize(spark, sf_dir):
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform(e, lambda x: (x / norm).cast("float").cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(normalized(F.col("embedding"))).alias("pos", "value"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
 _VEC = "CAST(embedding AS DOUBLE[])"
@@ -261,23 +309,33 @@ def vector_index(spark, sf_dir):
     return SegmentIndex.build(rows)
 
 
-def vector_costs(spark, sf_dir):
-    return CosineCosts(EmbeddingStore({r["vec_id"]: r["embedding"] for r in table(spark, sf_dir, "embeddings").select("vec_id", "embedding").toLocalIterator()}))
+def asked_vectors(spark, sf_dir, which):
+    """The vectors that a search asks for, as a store; the others are compared with them on the executors."""
+    return EmbeddingStore({r["vec_id"]: r["embedding"] for r in table(spark, sf_dir, "embeddings").where(which).select("vec_id", "embedding").toLocalIterator()})
 
 
 @query(f"""
-WITH q AS (SELECT vec_id AS a, {_VEC} AS x FROM embeddings WHERE vec_id < 4)
+WITH q AS (SELECT vec_id AS a, {_VEC} AS x FROM embeddings WHERE vec_id % 20 = 0)
 SELECT a AS query_token, vec_id AS token, CAST(round(CASE WHEN a = vec_id THEN 0 ELSE least(1, greatest(0, 1 - list_cosine_similarity(x, {_VEC}))) END, 3) AS DOUBLE) AS cost FROM q, embeddings""")
 def cosine_costs(spark, sf_dir):
-    costs = vector_costs(spark, sf_dir)
-    rows = [(a, int(b), float(c)) for a in range(4) for b, c in costs.row(a)[0].items()]
-    return spark.createDataFrame(rows, "query_token long, token long, cost double").withColumn("cost", F.round("cost", 3))
+    """The costs of every 20th vector, as query tokens, against all."""
+    all_of = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), "embedding")
+    asked = all_of.where("token % 20 = 0")
+    return cosine_rows(asked, all_of).withColumn("cost", F.round(F.col("cost").cast("double"), 3))
 
 
-@query()
+_COSINES = ", ".join(f"vs[{i + 1}] AS q{i}, xs[{i + 1}] AS x{i}" for i in range(3))
+_LABELS = f"SELECT CAST(label AS BIGINT) AS seq_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, vec_id AS tok, {_VEC} AS x FROM embeddings"
+
+
+@query("SELECT seq_id, start, \"end\", round(distance, 2) AS distance FROM (" + dp_sql(
+    _LABELS, f"SELECT {_COSINES} FROM (SELECT list(vec_id ORDER BY vec_id)[1:3] AS vs, list({_VEC} ORDER BY vec_id)[1:3] AS xs FROM embeddings WHERE label = 0)", 3, 1.5,
+    "CASE WHEN {q} = {t} THEN 0.0 ELSE least(1.0, greatest(0.0, 1 - list_cosine_similarity(q.x{i}, t.x))) END") + ")")
 def cosine_cost_search(spark, sf_dir):
-    first = table(spark, sf_dir, "embeddings").where("label = 0").select("vec_id").orderBy("vec_id").limit(3).collect()
-    return as_rows(vector_index(spark, sf_dir).searcher(vector_costs(spark, sf_dir)).search([r[0] for r in first], SearchParams(1.5)))
+    first = [r[0] for r in table(spark, sf_dir, "embeddings").where("label = 0").select("vec_id").orderBy("vec_id").limit(3).collect()]
+    near = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), "embedding")
+    costs = cosine_policy(asked_vectors(spark, sf_dir, F.col("vec_id").isin(first)), near, first)
+    return as_rows(vector_index(spark, sf_dir).searcher(costs).search(first, SearchParams(1.5))).withColumn("distance", F.round("distance", 2))
 
 
 @query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '[^{_PYTHON_SPACES}]+'), ' ') AS text FROM documents")
@@ -302,9 +360,24 @@ def normalize_nfkc_casefold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text"), "nfkc-casefold").alias("text"))
 
 
-@query("SELECT CAST('' AS VARCHAR) AS problem, CAST(0 AS BIGINT) AS rows WHERE false")
+@query(f"""
+WITH t AS ({_CONV})
+SELECT 'token without posting' AS problem, count(*) AS rows FROM t WHERE tok = 'the' HAVING count(*) > 0
+UNION ALL SELECT 'posting without token', 1
+UNION ALL SELECT 'wrong frequency', count(DISTINCT tok) FROM t WHERE tok IN ('the', 'of') HAVING count(*) > 0
+UNION ALL SELECT 'repeated token', 1 FROM t WHERE tok = 'of' HAVING count(*) > 0
+UNION ALL SELECT 'repeated posting', count(*) FROM t WHERE tok = 'of' HAVING count(*) > 0""")
 def index_integrity(spark, sf_dir):
-    return document_index(spark, sf_dir).problems()
+    """What verification says of a saved index that was damaged: postings lost, made up and repeated, a token repeated, frequencies changed."""
+    index = conversation_index(spark, sf_dir)
+    assert index.problems().isEmpty()
+    of, the = F.col("token") == "of", F.col("token") == "the"
+    made_up = spark.createDataFrame([("the", -1, 0)], "token string, seq_id long, pos int")
+    kept = index.postings.where(~the)
+    index.postings = kept.unionByName(kept.where(of)).unionByName(made_up)
+    words = index.vocabulary.withColumn("frequency", F.col("frequency") + F.when(the, 1).otherwise(0))
+    index.vocabulary = words.unionByName(words.where(of).withColumn("frequency", F.col("frequency") + 1))
+    return index.problems()
 
 
 @query(f"SELECT token, tau, neighbours FROM (SELECT 'of' AS token, CAST(0.5 AS DOUBLE) AS tau, count(DISTINCT tok) AS neighbours FROM ({DOCS}) WHERE tok IN ('of', 'with', 'for'))")

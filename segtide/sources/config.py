@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from segtide import errors
 from segtide.functions.costs import CosineCosts, CostPolicy, EmbeddingStore, RuleCosts, UnitCosts, cost
-from segtide.sources.text import open_text, read_lines
+from segtide.sources.text import open_text, publish_text, read_lines, require_distinct
 
 VERSION = 1
 
@@ -180,7 +180,12 @@ def open_costs(path: str, tokenizer: str | None = None) -> CostPolicy:
     if meta.get("kind") == "embedding":
         store = EmbeddingStore({}, meta["dimension"])
         for r in pq.read_table(Path(path) / "embeddings.parquet").to_pylist():
-            store._rows[r["token"]] = np.asarray(r["embedding"], np.float32)
+            v = np.asarray(r["embedding"], np.float32)
+            # a row that can't be a unit vector counts as missing; ``verify`` tells of it
+            if v.shape == (store.dimension,) and np.isfinite(v).all() and v.any():
+                store._rows[r["token"]] = v
+            else:
+                store.rejected.append(r["token"])
         return CosineCosts(store, *meta["costs"])
     raise errors.InvalidFile(f"{path}: unknown kind {meta.get('kind')!r}")
 
@@ -232,12 +237,11 @@ def convert_embeddings(spark: SparkSession, source: str, target: str, header: st
 
     if config is not None and (target == "-" or Path(target).suffix in (".gz", ".bz2", ".xz", ".lzma")):
         raise ValueError("a cost configuration needs a plain file of embeddings")
-    if len({str(Path(p).resolve()) for p in (source, target, config) if p and p != "-"}) < len([p for p in (source, target, config) if p and p != "-"]):
-        raise ValueError("the paths must differ")
+    require_distinct(source, target, config)
     costs = [float(cost(c)) for c in (missing, deletion, insertion)]
     rows = word2vec(spark, source, header, (lambda c: normalize(c, form)) if form != "none" else None)
     n = 0
-    with open_text(target, "wt") as f:
+    with publish_text(target) as f:
         for r in rows.toLocalIterator():
             f.write(json.dumps({"token": r["token"], "embedding": [float(v) for v in r["embedding"]]}, ensure_ascii=False) + "\n")
             n += 1

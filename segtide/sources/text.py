@@ -6,6 +6,8 @@ import bz2
 import gzip
 import lzma
 import sys
+import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +29,34 @@ def open_text(path: str, mode: str = "rt"):
     return _SUFFIXES.get(Path(path).suffix, open)(path, mode, encoding="utf-8", newline="\n" if "w" in mode else "")
 
 
+def require_distinct(*paths: str | None) -> None:
+    """Raises where two of the paths are one file, before any of them is opened; ``-`` and None are no files."""
+    seen: dict[Path, str] = {}
+    for p in paths:
+        if p is None or p == "-":
+            continue
+        real = Path(p).resolve()
+        if real in seen:
+            raise ValueError(f"{p} and {seen[real]} are the same file")
+        seen[real] = p
+
+
+@contextmanager
+def publish_text(path: str):
+    """A text file for writing that takes its name once it is written to the end; a failed run leaves what was there."""
+    if path == "-":
+        yield sys.stdout
+        return
+    target = Path(path)
+    part = target.with_name(f"{target.stem}.{uuid.uuid4().hex[:8]}.part{target.suffix}")
+    try:
+        with open_text(str(part), "wt") as f:
+            yield f
+        part.replace(target)
+    finally:
+        part.unlink(missing_ok=True)
+
+
 def number_lines(lines: DataFrame, start: int = 0, name: str = "seq_id") -> DataFrame:
     """Adds dense numbers in file order without gathering the rows: a partition's offset and the place within it.
 

@@ -1,0 +1,259 @@
+"""Saved indexes, batches of queries, the command line's safety, the seeded workloads and what the queries without SQL give."""
+
+import json
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from segtide import cli, errors, queries
+from segtide.functions.costs import CosineCosts, CountingCosts, EmbeddingStore, RuleCosts, UnitCosts, cosine_policy, cosine_rows, unit_vector
+from segtide.functions.tokens import token_ranges
+from segtide.operators.index import SegmentIndex
+from segtide.plans.planner import SearchParams
+from segtide.sources import config, synthetic, text
+
+
+def sequences(spark, rows):
+    return spark.createDataFrame(rows, "seq_id long, tokens array<string>")
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def words(rng, n, kinds="abcdefgh"):
+    return [str(w) for w in rng.choice(list(kinds), n)]
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rng = np.random.default_rng(1)
+    return SegmentIndex.build(sequences(spark, [(i, words(rng, int(rng.integers(0, 30)))) for i in range(60)] + [(60, []), (61, None)]))
+
+
+# ---------------------------------------------------------------- many queries
+
+
+def test_a_table_of_queries_gives_what_each_gives_alone(spark, small):
+    rng = np.random.default_rng(2)
+    asked = [(i, words(rng, int(rng.integers(3, 9)))) for i in range(25)] + [(100, []), (101, None), (102, ["a"]), (103, ["zz", "a", "b", "zz"]), (7, ["a", "b", "c"])]
+    table = spark.createDataFrame(asked, "query_id long, tokens array<string>")
+    searcher = small.searcher(UnitCosts())
+    expected = []
+    for i, q in asked:
+        if q and len(q) > 1:
+            expected += [(i, *r) for r in found(searcher.search_exhaustive(q, SearchParams(1.0)))]
+    for access in ("scan", "postings", "auto"):
+        assert found(searcher.search_table(table, SearchParams(1.0), access=access, block=8)) == sorted(expected)
+    assert searcher.search_table(table.limit(0), SearchParams(1.0)).count() == 0
+
+
+def test_batch_search_query_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    text_of = lambda n: " ".join(words(rng, n, "abcdefghijklmnopqrstuvwxyz"))
+    items = [(i, text_of(12)) for i in range(6)] + [(6, ""), (7, None)]
+    docs = []
+    for i in range(40):
+        t = text_of(30).split()
+        copy = items[i % 6][1].split()
+        copy[i % 12 : i % 12 + i % 3] = ["x"] * (i % 4)
+        docs.append((i, " ".join(t[:7] + copy + t[7:])))
+    docs += [(900, None), (901, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for q, item in items:
+        w = (item or "").split()
+        for d, t in docs if w else ():
+            s = (t or "").split()
+            for a in range(len(s)):
+                column = list(range(len(w) + 1))
+                for b in range(a, len(s)):
+                    new = [column[0] + 1]
+                    for i, x in enumerate(w):
+                        new.append(min(column[i] + (x != s[b]), column[i + 1] + 1, new[i] + 1))
+                    column = new
+                    if column[-1] <= 2:
+                        expected.append((q, d, a, b + 1, float(column[-1])))
+                    if min(column) > 2:
+                        break
+    assert len(expected) > 40 and found(queries.batch_search(spark, str(tmp_path))) == sorted(expected)
+
+
+def test_null_tokens_take_a_place_and_equal_nothing(spark):
+    index = SegmentIndex.build(sequences(spark, [(1, ["a", None, "b"]), (2, [None, None])]))
+    assert found(index.vocabulary) == [("a", 1), ("b", 1)]
+    got = found(index.searcher(UnitCosts()).search(["a", "b"], SearchParams(1.0)))
+    assert (1, 0, 3, 1.0) in got and all(r[0] == 1 for r in got)
+
+
+# ---------------------------------------------------------------- costs
+
+
+def test_cosine_costs_computed_on_executors(spark):
+    rng = np.random.default_rng(4)
+    vectors = {f"w{i}": rng.standard_normal(6) for i in range(30)}
+    table = spark.createDataFrame([(t, [float(x) for x in v]) for t, v in vectors.items()] + [(None, [1.0] * 6), ("w", None)], "token string, embedding array<float>")
+    store = EmbeddingStore(vectors)
+    whole = CosineCosts(store)
+    rows = {(r[0], r[1]): r[2] for r in cosine_rows(table.where("token IN ('w0', 'w7', 'w9')"), table, block=2).collect()}
+    assert len(rows) == 90 and all(abs(c - whole.row(a)[0][b]) < 1e-6 for (a, b), c in rows.items())
+    index = SegmentIndex.build(sequences(spark, [(i, [f"w{k}" for k in rng.integers(0, 30, 12)]) for i in range(20)]))
+    query = ["w0", "w7", "w9"]
+    a = found(index.searcher(whole).search(query, SearchParams(0.9)))
+    b = found(index.searcher(cosine_policy(store, table, query)).search(query, SearchParams(0.9)))
+    assert [r[:3] for r in a] == [r[:3] for r in b] and a and np.allclose([r[3] for r in a], [r[3] for r in b], atol=1e-5)
+
+
+def test_counting_costs_change_nothing(small):
+    inner = RuleCosts(1.5, 1.0, 1.0, {("a", "b"): 0.25})
+    counted = CountingCosts(inner)
+    query, params = ["a", "c", "d"], SearchParams(1.0)
+    assert found(small.searcher(counted).search(query, params)) == found(small.searcher(inner).search(query, params))
+    assert counted.substitutions_asked >= 4 and counted.deletions_asked >= 3
+
+
+def test_invalid_rows_of_a_cost_snapshot_are_missing(tmp_path):
+    store = EmbeddingStore({"a": [1.0, 0.0], "b": [0.0, 1.0]})
+    store._rows["b"] = np.array([np.nan, 1.0], np.float32)
+    config.save_costs(CosineCosts(store), str(tmp_path / "s"), "whitespace")
+    opened = config.open_costs(str(tmp_path / "s"), "whitespace")
+    assert opened.store.get("b") is None and opened.row("a")[1] == 1.0
+    with pytest.raises(errors.CorruptIndex):
+        opened.store.verify()
+
+
+# ---------------------------------------------------------------- index
+
+
+def test_saved_index_is_replaced_as_a_whole(spark, small, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    saved = small.save(path)
+    before = found(saved.searcher(UnitCosts()).search(["a", "b"], SearchParams(0.0)))
+    other = SegmentIndex.build(sequences(spark, [(1, ["q"])]))
+    monkeypatch.setattr("segtide.operators.index.put_in_place", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError):
+        other.save(path)
+    monkeypatch.undo()
+    assert found(SegmentIndex.open(spark, path).searcher(UnitCosts()).search(["a", "b"], SearchParams(0.0))) == before
+    assert found(other.save(path).vocabulary) == [("q", 1)]
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".old")] == []
+
+
+def test_an_index_without_a_table_is_refused(spark, small, tmp_path):
+    import shutil
+
+    small.save(str(tmp_path / "index"))
+    shutil.rmtree(tmp_path / "index" / "postings")
+    with pytest.raises(errors.InvalidFile, match="postings"):
+        SegmentIndex.open(spark, str(tmp_path / "index"))
+
+
+def test_repeated_tokens_are_a_problem(spark, small):
+    index = SegmentIndex.build(small.corpus)
+    index.vocabulary = index.vocabulary.unionByName(index.vocabulary.where("token = 'a'"))
+    assert {r["problem"]: r["rows"] for r in index.problems().collect()} == {"repeated token": 1}
+    with pytest.raises(errors.CorruptIndex):
+        index.verify()
+
+
+def test_decode_undoes_encode(spark, small):
+    expected = sorted((r[0], r[1]) for r in small.corpus.collect())
+    assert sorted((r[0], r[1]) for r in small.decode(small.encode()).collect()) == expected
+    with pytest.raises(Exception, match="no token has symbol"):
+        small.decode(spark.createDataFrame([(1, [10_000])], "seq_id long, symbols array<long>")).collect()
+
+
+# ---------------------------------------------------------------- functions and workloads
+
+
+def test_token_ranges_of_slices_and_wide_characters():
+    texts = pa.array(["left out", "ab  c　dé \U0001f980x ", None, "", "a b c d\u0085e​f g"])[1:]
+    got = token_ranges(texts, "whitespace").to_pylist()
+    assert got[1] is None and got[2] == [] and [t["value"] for t in got[0]] == ["ab", "c", "dé", "\U0001f980x"] and [t["value"] for t in got[3]] == ["a", "b", "c", "d", "e​f", "g"]
+    for t, row in zip(texts.to_pylist(), got):
+        assert all(t.encode()[r["byte_start"] : r["byte_end"]].decode() == r["value"] for r in row or ())
+    assert [(r["value"], r["byte_start"], r["byte_end"]) for r in token_ranges(pa.array(["aé\U0001f980"]), "character").to_pylist()[0]] == [("a", 0, 1), ("é", 1, 3), ("\U0001f980", 3, 7)]
+
+
+def test_published_workload_has_the_published_number_of_candidates(spark):
+    for vocabulary in (256, 2_000):
+        rows = list(synthetic.corpus(20_000, 20, vocabulary))
+        index = SegmentIndex.build(spark.createDataFrame(list(enumerate(rows)), "seq_id long, tokens array<string>"))
+        assert index.searcher(UnitCosts()).search_with_metrics(synthetic.QUERY.split(), SearchParams(0.0))[1].generated_candidates == 37_848
+
+
+def test_synthetic_vectors_are_clustered():
+    store = synthetic.embeddings([f"t{i:04}" for i in range(12)], dimension=300, clusters=4)
+    near, far = store.get("t0000") @ store.get("t0004"), store.get("t0000") @ store.get("t0001")
+    assert abs(near - 0.85) < 0.05 and abs(far) < 0.2
+    assert np.allclose(unit_vector(store.get("t0003")), store.get("t0003"), atol=1e-6)
+    with pytest.raises(ValueError):
+        next(synthetic.xorshift(0))
+
+
+# ---------------------------------------------------------------- command line
+
+
+def test_an_output_may_not_be_an_input(tmp_path, capsys):
+    f = tmp_path / "f.txt"
+    f.write_text("one  two\n")
+    for args in (["preprocess", str(f), str(f)], ["passages", str(f), str(tmp_path / "x"), "--metadata", str(f)], ["convert-embeddings", str(f), str(tmp_path / "." / "f.txt")], ["index", str(f), str(f)]):
+        assert cli.main(args) == 1 and "same file" in capsys.readouterr().err
+        assert f.read_text() == "one  two\n"
+
+
+def test_a_failed_run_leaves_what_was_there(spark, tmp_path, capsys):
+    good, bad, index, out = tmp_path / "good.txt", tmp_path / "bad.txt", tmp_path / "index", tmp_path / "out.txt"
+    good.write_text("a b c\nb c d\n")
+    bad.write_bytes(b"a b\n\xff\xfe\n")
+    assert cli.main(["index", str(index), str(good), "--tokenizer", "whitespace"]) == 0
+    assert cli.main(["search", str(index), "b c"]) == 0
+    before = capsys.readouterr().out
+    assert before and cli.main(["index", str(index), str(bad), "--tokenizer", "whitespace"]) == 1
+    assert capsys.readouterr().err.startswith("error: ")
+    assert cli.main(["search", str(index), "b c", "--verify"]) == 0 and capsys.readouterr().out == before
+    out.write_text("old\n")
+    assert cli.main(["preprocess", str(bad), str(out)]) == 1 and out.read_text() == "old\n"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bad.txt", "good.txt", "index", "out.txt"]
+    assert cli.main(["preprocess", str(good), str(out), "--tokenizer", "character"]) == 0 and out.read_text() == "a b c\nb c d\n"
+    assert cli.main(["preprocess", str(good), str(out), "--analyzer", "segtide.functions.tokens:characters"]) == 0 and out.read_text() == "a b c\nb c d\n"
+    assert cli.main(["preprocess", str(good), str(out), "--analyzer", "no.such:thing"]) == 1
+
+
+def test_search_verifies_costs(spark, tmp_path, capsys):
+    corpus = tmp_path / "c.txt"
+    corpus.write_text("a b\n")
+    assert cli.main(["index", str(tmp_path / "i"), str(corpus), "--tokenizer", "whitespace"]) == 0
+    store = EmbeddingStore({"a": [1.0, 0.0], "b": [0.0, 1.0]})
+    store._rows["b"] = np.array([3.0, 0.0], np.float32)
+    config.save_costs(CosineCosts(store), str(tmp_path / "s"), "whitespace")
+    assert cli.main(["search", str(tmp_path / "i"), "a", "--costs", str(tmp_path / "s")]) == 0
+    assert cli.main(["search", str(tmp_path / "i"), "a", "--costs", str(tmp_path / "s"), "--verify"]) == 1
+    assert "unit vector" in capsys.readouterr().err
+
+
+def test_generate_and_measure(spark, tmp_path, capsys):
+    corpus = tmp_path / "c.txt"
+    assert cli.main(["generate", str(corpus), "--sequences", "300", "--length", "8"]) == 0
+    assert len(corpus.read_text().splitlines()) == 300
+    capsys.readouterr()
+    assert cli.main(["measure", str(corpus), "--warm-runs", "2", "-t", "1"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["sequences"] == 300 and got["tokens"] == 2400 and got["matches"] >= 3 and got["generated_candidates"] > 0 and {"cold_search_ms", "warm_median_ms", "save_ms", "open_ms"} <= set(got)
+
+
+def test_located_matches_as_a_file(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5, 0, 3, 'a"b'), (0, 0.0, 2, 5, "x\ty")], "seq_id long, distance float, byte_start int, byte_end int, matched_text string")
+    text.write_tsv(rows, str(tmp_path / "out"))
+    lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == ['0\t0\t2\t5\t"x\ty"', '1\t0.5\t0\t3\t"a""b"'] == list(text.tsv_lines(rows))
+
+
+def test_nfkc_casefold_query(spark, tmp_path):
+    spark.createDataFrame([(1, "ﬁ Å STRASSE ß İ"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r[0]: r[1] for r in queries.normalize_nfkc_casefold(spark, str(tmp_path)).collect()}
+    assert got == {1: "fi å strasse ss i̇", 2: None, 3: ""}
+    assert queries.normalize_nfkc_casefold(spark, str(tmp_path)).where(F.col("doc_id") == 1).count() == 1
