@@ -10,18 +10,22 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segtide.sources.shared import shared_dir
+
 #: Characters that one NumPy pass works on; a longer text is a pass of its own.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 17
+#: Rows that ``keyed_runs`` packs at once, and bins of keys to a partition.
+FLUSH_ROWS, BINS = 1 << 18, 8
 _BASE = 0x9E3779B97F4A7C15 | 1
 _NL = 10
 
@@ -147,19 +151,22 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-# ---------------------------------------------------------------- shared tables
+# ---------------------------------------------------------------- samples
+
+_RANKS = 1 << 62
+
+
+def sample_rank(*columns: Column, seed: int) -> Column:
+    """A hash of the columns in 0..2^62, to be compared with ``sample_bound``."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(_RANKS))
+
+
+def sample_bound(most: int, count: int) -> int:
+    """Ranks below it are the share of ``count`` rows of which there are ``most``; at 2^62 it doesn't vanish at any count."""
+    return _RANKS if count <= most else _RANKS * most // count
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset in local mode, as in tests, one is made."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='segtide-')}"
-        sc.setCheckpointDir(path)
-    return path
+# ---------------------------------------------------------------- shared tables
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -230,25 +237,99 @@ def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def keyed_runs(
+    df: DataFrame, index: Callable[[pa.RecordBatch], Iterator[np.ndarray]], match: Callable[[np.ndarray], pa.RecordBatch | None], width: int, schema: str,
+    beside: int = 0,
+) -> DataFrame:
+    """Regroups rows by key: ``index`` makes arrays (n, ``width``) of int64 of a batch, the first column a key; ``match``
+    gets all rows of some keys, sorted by the first two columns, and returns rows of ``schema``. The key's last
+    ``beside`` bits tell rows of one key apart and only sort them.
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+    Rows travel as bytes, one value for a bin of keys: the JVM moves and sorts few
+    large values, and the rows of a bin are sorted in NumPy. A bin is a small part of
+    a partition; only a key of many rows makes it larger.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = np.uint64(parts * BINS)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        to = (mix64(rows[:, 0].view(np.uint64) >> np.uint64(beside)) % bins).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        rows, to = rows[order], to[order]
+        first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        offsets = (np.append(first, len(rows)) * (8 * width)).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+        return pa.record_batch([pa.array(to[first]), data], names=["bin", "data"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for rows in index(batch):
+                held.append(rows)
+                n += len(rows)
+                if n >= FLUSH_ROWS:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            rows = np.frombuffer(b"".join(held), np.int64).reshape(-1, width)
+            out = match(rows[np.lexsort((rows[:, 1], rows[:, 0]))])
+            if out is not None and out.num_rows:
+                yield out
+
+        now, held = None, []
+        for batch in batches:
+            for b, data in zip(batch.column("bin").to_pylist(), batch.column("data")):
+                if b != now and held:
+                    yield from done(held)
+                    held = []
+                now = b
+                held.append(data.as_py())
+        if held:
+            yield from done(held)
+
+    return df.mapInArrow(send, "bin int, data binary").repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(receive, schema)
+
+
+#: Edges up to which components are found on the driver; beyond, in rounds of shuffles, with the same result.
+FEW_EDGES = 1 << 20
+
+
+def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of the nodes 0..n-1."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while True:
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _few_components(edges: DataFrame) -> DataFrame:
+    got = edges.select("a", "b").toArrow()
+    both = pa.chunked_array([*got.column("a").chunks, *got.column("b").chunks], type=got.schema.field("a").type).combine_chunks()
+    coded = both.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ends = rank[coded.indices.to_numpy()]
+    n = len(got)
+    root = least_linked(len(order), ends[:n], ends[n:])
+    nodes = coded.dictionary.take(pa.array(order))
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": nodes.take(pa.array(root))}), f"node {kind}, root {kind}")
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
@@ -256,22 +337,27 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 40) -> Data
 
     Alternating large-star and small-star rounds; each is one shuffle on the
     node and its result is a written table, so an executor's loss repeats one
-    round at most. Self edges and nulls are dropped, repeated edges merged.
+    round at most. Self edges and nulls are dropped, repeated edges merged. Up to ``FEW_EDGES``
+    edges, counted first, are linked on the driver.
     """
-    from pyspark.sql import Window as W
-
     now = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
     now = scratch.write(now, "edges0")
+    if now.count() <= FEW_EDGES:
+        found = scratch.write(_few_components(now), "components", small=True)
+        scratch.drop("edges0")
+        return found
     name, before = "edges0", None
     for i in range(1, max_rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.min("b").over(W.partitionBy("a"))
-        large = both.withColumn("m", F.least("a", least)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # least neighbours by aggregation and join, as a window would hold a hub's neighbours in one task
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         # small star: every neighbour that is not above a, and a itself, go to the least of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.withColumn("m", F.min("b").over(W.partitionBy("a")))
+            large.join(least, "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").distinct()
         )
