@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.common import char_tables, chunks, codes, map_batches, mix64, texts_of
+from segtide.llm.common import char_tables, chunks, codes, map_batches, mix64, sample_bound, sample_rank, texts_of
 
 
 @dataclass(frozen=True)
@@ -68,8 +68,8 @@ def train(
 ) -> LanguageModel:
     """Fits the model on a bounded sample of labelled rows: about ``max_per_language`` of each language.
 
-    The sample is by hash of identifier, so it is the same at every run; a fifth
-    of it is held out to fit the softmax temperature and the rejection
+    The sample is by hash of identifier and text, so it is the same at every run, and
+    repeated rows count once; a fifth of it is held out to fit the softmax temperature and the rejection
     threshold: the ``1 - keep`` quantile of the confidence of rightly judged
     held-out texts, at most ``max_threshold``.
     """
@@ -77,9 +77,10 @@ def train(
     languages = tuple(sorted(counts))
     if not languages:
         return LanguageModel((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
-    rank = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000))
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(1e6 * min(1.0, max_per_language / counts[k]))))])
-    sample = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(rank < share[F.col(lang_col)])
+    row = [F.col(id_col), F.col(text_col)]  # identifiers may be null or repeated
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(sample_bound(max_per_language, counts[k])).cast("long"))])
+    sample = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(sample_rank(*row, seed=seed) < share[F.col(lang_col)])
+    sample = sample.select(F.col(lang_col).alias("l"), F.xxhash64(*row, F.lit(seed + 1)).alias("r"), F.col(text_col).alias("t")).dropDuplicates(["l", "r"])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -93,8 +94,7 @@ def train(
         return step
 
     rows = map_batches(
-        sample.select(F.col(lang_col).alias("l"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1 << 30)).alias("r"), F.col(text_col).alias("t")),
-        make, "l string, r long, ids array<int>, n array<int>",
+        sample, make, "l string, r long, ids array<int>, n array<int>",
     ).toArrow().sort_by([("r", "ascending"), ("l", "ascending")])
     label = np.array([languages.index(x) for x in rows.column("l").to_pylist()], dtype=np.int64)
     ids = [np.asarray(x.values) for x in rows.column("ids")]

@@ -30,12 +30,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segtide.llm.common import Scratch
 
 STEPS = 60
+#: Tables of one row a source are broadcast up to this many rows, and joined by shuffles beyond.
+BROADCAST_SOURCES = 50_000
 
 
 def words(text: Column) -> Column:
@@ -96,7 +98,12 @@ def _goals(counted: DataFrame, budget_share: float, min_entropy: float | None, m
     tokens = [r["n"] for r in sizes]
     shares = weights(tokens, find_alpha(tokens, budget, min_entropy, max_repeats)) if sizes else []
     goals = [(r["s"], r["n"], int(math.floor(w * budget + 0.5))) for r, w in zip(sizes, shares)]
-    return counted.sparkSession.createDataFrame(goals, f"s2 {counted.schema['s'].dataType.simpleString()}, size long, goal long").where("goal > 0")
+    return _by_source(counted.sparkSession, goals, f"s2 {counted.schema['s'].dataType.simpleString()}, size long, goal long").where("goal > 0")
+
+
+def _by_source(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
 
 
 def _placed(taken: DataFrame, seed: int) -> DataFrame:
@@ -132,7 +139,7 @@ def mix(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as ``plan`` takes it.
 
-    Texts are not shuffled: a source's whole epochs take every row, and of its
+    Up to ``BROADCAST_SOURCES`` sources, texts are not shuffled: a source's whole epochs take every row, and of its
     last epoch's permutation the rows up to one place, which is found first.
     """
     counted = _count(docs, Scratch(docs.sparkSession), id_col, text_col, source_col)
@@ -140,7 +147,7 @@ def mix(
     last = _placed(counted.join(goals, F.col("s").eqNullSafe(F.col("s2"))).where("goal % size > 0"), seed)
     last = last.groupBy(F.col("s").alias("s4")).agg(F.max(F.struct("o", F.col("id").alias("i"), F.col("n").alias("k"))).alias("border"))
     limits = goals.join(last, F.col("s2").eqNullSafe(F.col("s4")), "left").select("s2", "epoch", "border").collect()  # one row a source
-    border = docs.sparkSession.createDataFrame(limits, f"s2 {docs.schema[source_col].dataType.simpleString()}, epoch long, border struct<o string, i {docs.schema[id_col].dataType.simpleString()}, k long>")
+    border = _by_source(docs.sparkSession, limits, f"s2 {docs.schema[source_col].dataType.simpleString()}, epoch long, border struct<o string, i {docs.schema[id_col].dataType.simpleString()}, k long>")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("s"), words(F.col(text_col)).alias("n"))
     own = F.struct(_order(seed, F.col("epoch"), F.col("id")).alias("o"), F.col("id").alias("i"), F.col("n").alias("k"))
     times = F.col("epoch") + F.when(own <= F.col("border"), 1).otherwise(0)

@@ -15,7 +15,8 @@ iterated is a table of one row per group and start.
 
 Rows of a (language, source) with fewer than ``min_rows`` rows form one group a
 language; where that is too small too, they form one group of all languages;
-if that is too small no row of it is rejected (null distance). A scatter gets
+if that is too small too, its rows are judged by the estimate of all valid rows of the table. Only a
+table of fewer than ``min_rows`` valid rows gives none (null distance, kept). A scatter gets
 ``ridge`` on its diagonal, so that groups of equal rows have a distance too.
 
 Defined results: a null or empty text, or one without a letter, digit or mark,
@@ -40,6 +41,8 @@ from segtide.llm.common import Scratch, char_tables, chunks, codes, map_batches,
 STATISTICS = ("length", "word_length", "marks", "capitals", "repetition", "line_length")
 D = len(STATISTICS)
 PRIOR = 30.0
+#: The group of all valid rows.
+ALL = "*"
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
 
@@ -134,14 +137,15 @@ def _vectors(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
 
 
 def _grouped(rows: DataFrame, min_rows: int) -> DataFrame:
-    """Adds ``g``: the key of the group whose estimate judges a row; null where every group is too small."""
+    """Adds ``g``: the key of the group whose estimate judges a row, ``ALL`` for all rows'; null where the table is too small."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     sizes = rows.where("ok").groupBy(part("lang").alias("gl"), part("source").alias("gs")).agg(F.count("*").alias("n"))
     small = sizes.where(f"n < {min_rows}").groupBy("gl").agg(F.sum("n").alias("nl"))
     rest = small.where(f"nl < {min_rows}").agg(F.coalesce(F.sum("nl"), F.lit(0)).alias("na"))
+    rest = rest.join(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nt")))  # one row
     choice = sizes.join(small, "gl", "left").crossJoin(rest).select(
         "gl", "gs",
-        F.when(F.col("n") >= min_rows, F.concat_ws("\x1f", "gl", "gs")).when(F.col("nl") >= min_rows, F.col("gl")).when(F.col("na") >= min_rows, F.lit("")).alias("g"),
+        F.when(F.col("n") >= min_rows, F.concat_ws("\x1f", "gl", "gs")).when(F.col("nl") >= min_rows, F.col("gl")).when(F.col("na") >= min_rows, F.lit("")).when(F.col("nt") >= min_rows, F.lit(ALL)).alias("g"),
     )
     return rows.withColumns({"gl": part("lang"), "gs": part("source")}).join(choice, ["gl", "gs"], "left").drop("gl", "gs")
 
@@ -232,7 +236,11 @@ def reject(
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(_vectors(docs, id_col, text_col, lang_col, source_col), "vectors")
     rows = scratch.write(_grouped(rows, min_rows), "grouped")
-    found = estimate(rows.where("ok AND g IS NOT NULL"), scratch, support=support, ridge=ridge, steps=steps, bins=bins, reweight=reweight)
+    sample = rows.where("ok AND g IS NOT NULL")
+    if not sample.where(F.col("g") == ALL).isEmpty():  # all rows count for that group, and for their own
+        every = rows.where("ok")
+        sample = sample.where(F.col("g") != ALL).unionByName(every.withColumn("g", F.lit(ALL)))
+    found = estimate(sample, scratch, support=support, ridge=ridge, steps=steps, bins=bins, reweight=reweight)
     judged = rows.join(found, "g", "left").withColumn("d2", F.when(F.col("ok"), _distance()))
     limit = chi2_quantile(1 - tail, D)
     return judged.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.col("source").alias(source_col), F.sqrt(F.when(F.col("d2").isNotNull(), F.greatest("d2", F.lit(0.0)))).alias("distance"), (F.col("ok") & (F.col("d2").isNull() | (F.col("d2") <= limit))).alias("kept"))

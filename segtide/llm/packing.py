@@ -3,13 +3,13 @@
 A document of more than ``capacity`` tokens is cut into full pieces and a rest;
 a shorter one is one piece. Pieces are dealt by hash into groups of about
 ``group_size``, and each group is packed on its own: best-fit decreasing gives
-an incumbent; if it uses more bins than the lower bound, depth-first branch and
-bound looks for fewer. At a node the largest piece left opens a bin, whose
-undominated fillings are enumerated, larger pieces first; a branch is cut when
-the waste so far and the bound of what is left cannot beat the incumbent. The
-search visits at most ``max_nodes`` nodes a group and as many steps of a node's
-enumeration; the best-fit incumbent
-stands where it finds nothing better, so every piece is placed in any case.
+an incumbent; while it uses more bins than the lower bound, depth-first branch and
+bound packs its most wasteful bins anew, into one fewer. At a node the largest piece left opens a bin, whose
+undominated fillings are enumerated, fullest first; a branch is cut when
+the waste so far or the bound of what is left cannot beat the incumbent. A
+search visits at most ``max_nodes`` nodes and as many steps of a node's
+enumeration; the incumbent
+stands where several find nothing better, so every piece is placed in any case.
 
 Defined results: a document without tokens or with a null text has no piece.
 Repeated rows are documents of their own, told apart by ``copy`` (in order of length). Pieces of
@@ -91,51 +91,79 @@ def fillings(counts: Counter, room: int, steps: int):
             yield taken
 
 
-def complete(sizes: list[int], capacity: int, max_nodes: int) -> list[list[int]]:
-    """Bin completion; the best-fit result where nothing better is found."""
-    best = best_fit(sizes, capacity)
-    bound = lower_bound(sizes, capacity)
-    if len(best) <= bound:
-        return best
-    spare = len(best) * capacity - sum(sizes)  # the waste of the incumbent
-    nodes = 0
-
-    def search(counts: Counter, waste: int, bins: list[list[int]]) -> None:
-        nonlocal best, spare, nodes
-        if nodes >= max_nodes or len(best) <= bound:
-            return
-        nodes += 1
+def branch_and_bound(sizes: list[int], capacity: int, fewer: int, max_nodes: int) -> tuple[list[list[int]] | None, bool]:
+    """(bins, at most ``fewer`` of them, or None where there are none or none was found; whether the search ended by itself).
+
+    Depth first: the largest size left opens a bin, its fillings are tried by falling sum.
+    """
+    nodes, found, whole = 0, None, True
+    room = fewer * capacity - sum(sizes)  # the waste that is left to spend
+
+    def search(counts: Counter, room: int, bins: list[list[int]]) -> None:
+        nonlocal nodes, found, whole
         left = sorted(counts.elements())
-        if not left:
-            if len(bins) < len(best):
-                best, spare = [list(b) for b in bins], waste
-            return
-        if len(bins) + -(-sum(left) // capacity) >= len(best):
+        if len(bins) + lower_bound(left, capacity) > fewer:
             return
         greedy = best_fit(left, capacity)
-        if len(bins) + len(greedy) < len(best):
-            best = [list(b) for b in bins] + greedy
-            spare = len(best) * capacity - sum(map(sum, best))
-            if len(best) <= bound:
-                return
+        if len(bins) + len(greedy) <= fewer:
+            found = [list(b) for b in bins] + greedy
+            return
         top = left[-1]
         rest = counts.copy()
         rest[top] -= 1
         rest += Counter()
-        for f in fillings(rest, capacity - top, max_nodes):
+        for f in sorted(fillings(rest, capacity - top, max_nodes), key=sum, reverse=True):
             lost = capacity - top - sum(f)
-            if waste + lost > spare - capacity:  # at least one bin fewer means a bin's room less of waste
-                continue
-            search(rest - Counter(f), waste + lost, [*bins, [top, *f]])
-            if nodes >= max_nodes or len(best) <= bound:
+            if lost > room:
                 return
+            nodes += 1
+            if nodes > max_nodes:
+                whole = False
+                return
+            search(rest - Counter(f), room - lost, [*bins, [top, *f]])
+            if found is not None or not whole:
+                return
+
+    if room >= 0:
+        search(Counter(sizes), room, [])
+    return found, whole
+
 
-    search(Counter(sizes), 0, [])
+def complete(sizes: list[int], capacity: int, max_nodes: int, window: int = 10, tries: int = 8) -> list[list[int]]:
+    """Bin completion; the best-fit result where nothing better is found.
+
+    A search over hundreds of bins never gets to a leaf, so it is made over a
+    few: the most wasteful ones, as many as waste a bin together and at least ``window``,
+    are to be packed into one fewer. Where that succeeds, the result is the next incumbent; where it
+    fails ``tries`` times in a row, each time with other bins of average waste besides, the incumbent stands.
+    """
+    best = best_fit(sizes, capacity)
+    bound = lower_bound(sizes, capacity)
+    failed = 0
+    rng = np.random.default_rng(len(sizes))
+    while len(best) > bound and failed < tries:
+        best.sort(key=lambda b: (sum(b), b))
+        waste = np.cumsum([capacity - sum(b) for b in best])
+        n = max(min(window, len(best)), int(np.searchsorted(waste, capacity)) + 1)
+        if n > len(best):
+            break
+        chosen = set(range(n))
+        if failed:
+            chosen |= set(rng.choice(len(best), min(len(best), window // 2 * failed), replace=False).tolist())
+        part = [s for k in chosen for s in best[k]]
+        better, whole = branch_and_bound(part, capacity, len(chosen) - 1, max_nodes)
+        if better is not None:
+            best = [b for k, b in enumerate(best) if k not in chosen] + better
+            failed = 0
+        elif len(chosen) == len(best) and whole:
+            break  # all pieces were searched to the end
+        else:
+            failed += 1
     return best
 
 
 def pack(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, group_size: int = 4096, max_nodes: int = 64,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, group_size: int = 4096, max_nodes: int = 400,
 ) -> DataFrame:
     """(bin, id, copy, piece, start, length, place): tokens start..start+length of a document stand at ``place`` in the bin."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -9,7 +9,7 @@ coordinate descent and folded with the ratios into one weight per bucket, which
 is all that executors get (``buckets`` floats, whatever the corpus holds).
 
 The model is fitted on a bounded sample of labelled rows, ``max_per_class`` of
-each class, chosen by hash of identifier. A fifth is held out; the threshold is
+each class, chosen by hash of identifier, each text once. A fifth is held out of ratios and fit; the threshold is
 the greatest that keeps ``keep`` of the held-out good texts, at most 0.
 
 Defined results: a null, empty or blank text has no feature and is not kept,
@@ -89,8 +89,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, buckets: int, c: float = 1.0,
     if not (y[~held] == 1).any() or not (y[~held] == 0).any():
         return QualityModel(np.zeros(buckets, np.float32), np.zeros(buckets, np.float32), 0.0, 0.0)
     p, q = np.full(buckets, smooth), np.full(buckets, smooth)
-    for r, good in zip(rows, y):
-        (p if good else q)[r] += 1.0
+    for i in np.flatnonzero(~held):  # the threshold is fitted on rows that the ratios haven't seen
+        (p if y[i] else q)[rows[i]] += 1.0
     seen = p + q > 2 * smooth
     ratio = np.where(seen, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
 

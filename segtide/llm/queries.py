@@ -164,7 +164,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b, similarity) of the pairs of embeddings of a cosine similarity of at least 0.9."""
+    """(vec_id, class_id, copies, links) of every embedding, linked by a cosine similarity of at least 0.9."""
     from segtide.llm import embedding_dedup
 
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segtide.llm.common import Scratch, char_tables, chunks, codes, map_batches, owners, runs, texts_of
+from segtide.llm.common import Scratch, char_tables, chunks, codes, map_batches, owners, runs, sample_bound, sample_rank, texts_of
 
 #: Characters that may stand alone between two letters of one word, as in ``st*pid``.
 JOINERS = "@$*!'’"
@@ -231,13 +231,13 @@ def score_documents(docs: DataFrame, machine: Automaton, *, id_col: str = "doc_i
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], *, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """(t, y): texts of at most about ``most[y]`` labelled rows of each class, chosen by hash of identifier, each text once."""
+    """(t, y): the texts of at most about ``most[y]`` labelled identifiers of each class, chosen by hash, each text once a class."""
     given = labels.where(F.col(label).isin(list(most)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).distinct()
     counts = {r[0]: r[1] for r in given.groupBy("y").count().collect()}
-    share = F.coalesce(*[F.when(F.col("y") == y, int(1e6 * min(1.0, n / max(counts.get(y, 0), 1)))) for y, n in most.items()])
-    chosen = given.where(F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1_000_000)) < share)
+    bound = F.coalesce(*[F.when(F.col("y") == y, F.lit(sample_bound(n, counts.get(y, 0))).cast("long")) for y, n in most.items()])
+    chosen = given.where(sample_rank(F.col("i"), seed=seed) < bound)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    return texts.join(F.broadcast(chosen), "i").select("t", "y")  # broadcast: its size is bounded by ``most``
+    return texts.join(F.broadcast(chosen), "i").select("t", "y").distinct()  # broadcast: its size is bounded by ``most``
 
 
 def learn_lexicon(

@@ -8,7 +8,8 @@ A URL that no entry matches is allowed.
 
 The trie is broadcast up to ``max_broadcast_entries`` entries. Beyond that the
 entries are joined by hashed place: each URL asks for its own at most
-labels x segments places, so the join is an equality join of any size.
+labels x segments places, so the join is an equality join of any size. Both ways
+give the same rows, and raise ValueError for an entry without a host or with another verdict.
 
 Defined results: a null, empty or hostless URL is ``invalid`` and not kept.
 Scheme, user, port, query, fragment, letter case of the host, a trailing dot
@@ -20,10 +21,12 @@ columns are not looked at, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,17 +47,22 @@ def parts(url: str | None) -> tuple[list[str], list[str]] | None:
     return labels, [unquote(s) for s in m[2].split("/") if s]
 
 
+def problem(text: str | None, verdict: str | None) -> str | None:
+    """What is wrong with an entry, if anything."""
+    if verdict not in ("allow", "block"):
+        return f"verdict {verdict!r} of {text!r} is neither allow nor block"
+    return f"entry {text!r} has no host" if parts(text) is None else None
+
+
 class Trie:
     """Nodes are dicts: a host label or, as a 1-tuple, a path segment leads on; None holds (verdict, entry)."""
 
     def __init__(self, entries: Iterable[tuple[str, str]]):
         self.root: dict = {}
         for text, verdict in entries:
-            if verdict not in ("allow", "block"):
-                raise ValueError(f"verdict {verdict!r} of {text!r} is neither allow nor block")
+            if wrong := problem(text, verdict):
+                raise ValueError(wrong)
             p = parts(text)
-            if p is None:
-                raise ValueError(f"entry {text!r} has no host")
             node = self.root
             for key in [*p[0], *((s,) for s in p[1])]:
                 node = node.setdefault(key, {})
@@ -110,34 +118,48 @@ def filter_urls(
     return map_batches(urls.select(F.col(id_col), F.col(url_col).alias("u")), make, f"`{id_col}` {kind}, verdict string, entry string, kept boolean")
 
 
+def _prefixes(labels: list[str], segments: list[str]) -> list[bytes]:
+    """A digest of each place that could match, by falling precedence; each path's are made in one pass."""
+    out = []
+    for i in range(len(labels), 0, -1):
+        h = hashlib.blake2b(".".join(labels[:i][::-1]).encode("utf-8", "surrogatepass"), digest_size=16)
+        mine = [h.digest()]
+        for s in segments:
+            h.update(b"/" + s.replace("/", "//").encode("utf-8", "surrogatepass"))  # a decoded slash is no border
+            mine.append(h.digest())
+        out += mine[::-1]
+    return out
+
+
 def _joined(urls: DataFrame, entries: DataFrame, id_col: str, url_col: str) -> DataFrame:
-    """The same result by an equality join on places, for lists too large to broadcast."""
+    """The same result by an equality join on digests of places, for lists too large to broadcast."""
 
-    def asked(batches):  # every place that could match, by falling precedence
+    def asked(batches):
         for batch in batches:
-            ns, ks, ranks, places, ok = [], [], [], [], []
-            for n, (k, u) in enumerate(zip(batch.column("n").to_pylist(), batch.column("u").to_pylist())):
-                p = parts(u)
-                mine = [place(p[0][:i], p[1][:j]) for i in range(len(p[0]), 0, -1) for j in range(len(p[1]), -1, -1)] if p else [None]
-                ns += [k] * len(mine)
-                ks += [n] * len(mine)
-                ranks += range(len(mine))
-                places += mine
-                ok += [p is not None] * len(mine)
-            yield pa.record_batch([pa.array(ns, pa.int64()), batch.column("id").take(pa.array(ks, pa.int64())), pa.array(ranks, pa.int64()), pa.array(places, pa.string()), pa.array(ok, pa.bool_())], names=["n", "id", "rank", "place", "ok"])
+            for at in range(batch.num_rows):  # a batch a URL, as long paths have many places
+                p = parts(batch.column("u")[at].as_py())
+                mine = _prefixes(*p) if p else [None]
+                n = len(mine)
+                copied = [batch.column(c).take(pa.array(np.full(n, at))) for c in ("n", "id", "copies")]
+                yield pa.record_batch([*copied, pa.array(np.arange(n)), pa.array(mine, pa.binary()), pa.array(np.full(n, p is not None))], names=["n", "id", "copies", "rank", "place", "ok"])
 
     kind = urls.schema[id_col].dataType.simpleString()
 
     def normal(batches):
         for batch in batches:
-            p = [parts(e) for e in batch.column("entry").to_pylist()]
-            yield pa.record_batch([pa.array([place(*x) if x else None for x in p], pa.string()), batch.column("verdict")], names=["place", "v"])
-
-    rules = entries.mapInArrow(normal, "place string, v string").where("place IS NOT NULL").groupBy("place").agg(F.max("v").alias("v"))  # block sorts after allow
+            rows = list(zip(batch.column("entry").to_pylist(), batch.column("verdict").to_pylist()))
+            wrong = [problem(*r) for r in rows]
+            p = [None if w else parts(r[0]) for r, w in zip(rows, wrong)]
+            yield pa.record_batch([pa.array([_prefixes(*x)[0] if x else None for x in p], pa.binary()), pa.array([place(*x) if x else None for x in p], pa.string()), batch.column("verdict"), pa.array(wrong, pa.string())], names=["place", "entry", "v", "wrong"])
+
+    rules = entries.mapInArrow(normal, "place binary, entry string, v string, wrong string")
+    if wrong := rules.where("wrong IS NOT NULL").select("wrong").first():
+        raise ValueError(wrong[0])
+    rules = rules.groupBy("place").agg(F.max(F.struct("v", "entry")).alias("rule"))  # block sorts after allow
     rows = urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).groupBy("id", "u").agg(F.count("*").alias("copies"))
-    rows = rows.withColumn("n", F.xxhash64("id", "u"))
-    many = rows.select("n", "id", "u").mapInArrow(asked, f"n long, id {kind}, rank long, place string, ok boolean").join(rules, "place", "left")
-    best = many.groupBy("n", "id").agg(F.min(F.when(F.col("v").isNotNull(), F.struct("rank", "v", "place"))).alias("b"), F.first("ok").alias("ok"))
-    best = best.join(rows.select("n", "copies"), "n").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    verdict = F.when(~F.col("ok"), "invalid").otherwise(F.coalesce("b.v", F.lit("allow")))
-    return best.select(F.col("id").alias(id_col), verdict.alias("verdict"), F.col("b.place").alias("entry"), (verdict == "allow").alias("kept"))
+    key = F.sha2(F.to_json(F.struct(F.col("id").cast("string").alias("id"), "u")), 256)  # which leaves out what is null
+    many = rows.select(key.alias("n"), "id", "u", "copies").mapInArrow(asked, f"n string, id {kind}, copies long, rank long, place binary, ok boolean").join(rules, "place", "left")
+    best = many.groupBy("n").agg(F.first("id").alias("id"), F.first("copies").alias("copies"), F.min(F.when(F.col("rule").isNotNull(), F.struct("rank", "rule"))).alias("b"), F.first("ok").alias("ok"))
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    verdict = F.when(~F.col("ok"), "invalid").otherwise(F.coalesce("b.rule.v", F.lit("allow")))
+    return best.select(F.col("id").alias(id_col), verdict.alias("verdict"), F.col("b.rule.entry").alias("entry"), (verdict == "allow").alias("kept"))

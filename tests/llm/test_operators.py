@@ -34,10 +34,17 @@ def lev(a, b):
 
 
 def components_of(n, edges):
-    f = common.Forest(n)
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
     for a, b in edges:
-        f.join(a, b)
-    return [f.find(i) for i in range(n)]
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
 
 
 # ---------------------------------------------------------------- toxicity
@@ -205,6 +212,10 @@ def test_run_edges_connect_as_all_pairs():
         true = [(i, j) for i, j in itertools.combinations(range(n), 2) if near_dup.hamming(sig[i], sig[j]) <= 12]
         assert set(map(tuple, np.sort(edges, axis=1).tolist())) <= set(true)
         assert components_of(n, edges.tolist()) == components_of(n, true)
+        size = rng.integers(0, 30, n)
+        true = [(i, j) for i, j in true if abs(size[i] - size[j]) <= 9]
+        for found in (near_dup.ball_edges(sig, 12, size, 9), near_dup.matrix_edges(sig, 12, size, 9).tolist(), near_dup.run_edges(np.zeros(n, np.int64), sig, 12, size=size, reach=9)[0].tolist()):
+            assert {tuple(sorted(e)) for e in found} <= set(true) and components_of(n, found) == components_of(n, true)
 
 
 def test_simhash_groups(spark):
@@ -230,12 +241,19 @@ def test_simhash_groups(spark):
     assert near_dup.find_duplicates(d.limit(0)).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(3)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
-    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges + [(None, 1), (5, 5)], "a long, b long"), common.Scratch(spark)).collect()}
-    root = components_of(131, edges)
-    assert got == {i: root[i] for e in edges for i in e if any(i in x and x[0] != x[1] for x in edges)}
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 260)]
+    root = components_of(260, edges)
+    expected = {i: root[i] for e in edges for i in e if any(i in x and x[0] != x[1] for x in edges)}
+    table = spark.createDataFrame(edges + [(None, 1), (5, 5)], "a long, b long")
+    for few in (common.FEW_EDGES, 0):  # on the driver, and in rounds
+        monkeypatch.setattr(common, "FEW_EDGES", few)
+        assert {r["node"]: r["root"] for r in common.components(table, common.Scratch(spark)).collect()} == expected
+        assert common.components(table.limit(0), common.Scratch(spark)).count() == 0
+    monkeypatch.undo()
+    names = spark.createDataFrame([("b", "a"), ("d", "b"), ("x", "y")], "a string, b string")
+    assert {tuple(r) for r in common.components(names, common.Scratch(spark)).collect()} == {("a", "a"), ("b", "a"), ("d", "a"), ("x", "x"), ("y", "x")}
 
 
 # ---------------------------------------------------------------- lines
@@ -303,41 +321,59 @@ def test_short_lines_repeat_exactly(spark):
 # ---------------------------------------------------------------- embeddings
 
 
-def test_nn_descent_recall(spark):
+def linked_by_all_pairs(X, threshold=0.9):
+    """(class, copies, links) of each row, by brute force."""
+    U = (X / np.linalg.norm(X, axis=1, keepdims=True)).astype(np.float32)
+    S = U @ U.T >= threshold
+    np.fill_diagonal(S, False)
+    equal = (U[:, None, :] == U[None, :, :]).all(axis=2)
+    root = components_of(len(X), [(int(i), int(j)) for i, j in zip(*np.nonzero(S)) if i < j])
+    return [(root[i], int(equal[i].sum()), int(S[i].sum())) for i in range(len(X))]
+
+
+def embedding_table(spark, X, extra=()):
+    return spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)] + list(extra), "vec_id long, embedding array<double>").withColumn("w", F.lit(1)).withColumn("n", F.lit("x"))
+
+
+def found_links(out):
+    rows = sorted(tuple(r) for r in out.collect())
+    assert [r[0] for r in rows] == list(range(len(rows)))
+    return [r[1:] for r in rows]
+
+
+def test_nn_descent_links_are_those_of_all_pairs(spark):
     rng = np.random.default_rng(4)
     X = rng.standard_normal((400, 16))
     X[:60] = X[0] + 0.05 * rng.standard_normal((60, 16))  # a group larger than a list
     X[100:140] = X[140:180] + 0.05 * rng.standard_normal((40, 16))
-    rows = [(i, [float(v) for v in x]) for i, x in enumerate(X)] + [(900, None), (901, [0.0] * 16), (902, [1.0, 2.0]), (903, [float("nan")] * 16), (None, [1.0] * 16)]
-    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("w", F.lit(1))
-    got = {(r["a"], r["b"]): r["similarity"] for r in embedding_dedup.near_duplicates(t, leaf=32).collect()}
-    U = X / np.linalg.norm(X, axis=1, keepdims=True)
-    S = U @ U.T
-    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(S >= 0.9, 1)))}
-    assert len(true & set(got)) >= 0.97 * len(true)
-    assert all(S[a, b] >= 0.9 - 1e-5 and abs(S[a, b] - s) < 1e-5 for (a, b), s in got.items())
+    X[200:230] = X[200]
+    t = embedding_table(spark, X, [(900, None), (901, [0.0] * 16), (902, [1.0, 2.0]), (903, [float("nan")] * 16), (None, [1.0] * 16), (5, [float(v) for v in X[5]])])
+    assert found_links(embedding_dedup.near_duplicates(t)) == linked_by_all_pairs(X)
     assert embedding_dedup.near_duplicates(t.limit(0)).count() == 0
+    assert [tuple(r) for r in embedding_dedup.near_duplicates(t.where("vec_id = 7")).collect()] == [(7, 7, 1, 0)]
 
 
-def test_equal_vectors_and_the_exact_pass(spark, monkeypatch):
+def test_equal_vectors_hubs_and_the_exact_pass(spark, monkeypatch):
     rng = np.random.default_rng(8)
     X = rng.standard_normal((900, 8))
-    X[100:800] = X[100]  # more than a list and a piece of a leaf hold
+    X[100:800] = X[100]  # more than a list and a block hold
     X[800] = X[100] + 0.01
-    t = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "vec_id long, embedding array<double>")
-    U = X / np.linalg.norm(X, axis=1, keepdims=True)
-    true = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(U @ U.T >= 0.9, 1)))}
+    X[:90] = X[0] + 0.3 * rng.standard_normal((90, 8))
+    t = embedding_table(spark, X)
+    true = linked_by_all_pairs(X)
+    monkeypatch.setattr(embedding_dedup, "HUB", 4)  # every node is one
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    assert found_links(embedding_dedup.near_duplicates(t)) == true
     monkeypatch.setattr(embedding_dedup, "_audit", lambda *a: 0.0)  # whatever the lists hold
-    got = [(r["a"], r["b"]) for r in embedding_dedup.near_duplicates(t, k=1, rounds=0, enlargements=0).collect()]
-    assert len(got) == len(set(got)) and set(got) == true
+    assert found_links(embedding_dedup.near_duplicates(t, k=1, rounds=0, enlargements=0)) == true
 
 
-def test_audit_counts_vectors_with_a_neighbour(spark):
+def test_audit_counts_nodes_with_a_neighbour(spark):
     X = np.eye(64, dtype=np.float32)[np.concatenate((np.zeros(30, int), np.arange(1, 31).repeat(2)))]  # a group and 30 pairs
-    v = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(X)], "id long, v binary")
-    group = spark.createDataFrame([(i, j) for i in range(30) for j in range(i + 1, 30)], "a long, b long")
-    audit = lambda edges, table: embedding_dedup._audit(edges, table, 64, "bigint", 0.9, 8, table.count())
-    assert abs(audit(group, v) - 1 / 3) < 1e-6  # of all edges 94 % are there, of most vectors none
+    v = spark.createDataFrame([(i, 1, x.tobytes()) for i, x in enumerate(X)], "id long, n long, v binary")
+    group = spark.createDataFrame([(i, 29) for i in range(30)], "id long, links long")
+    audit = lambda links, table: embedding_dedup._audit(links, table, 64, "bigint", 0.9, 8, table.count())
+    assert abs(audit(group, v) - 1 / 3) < 1e-6  # most links are there, of most nodes none
     assert audit(group.limit(0), v.where("id = 0 OR id >= 30 AND id % 2 = 0")) == 1.0
     assert embedding_dedup._audit(group, v.limit(0), 64, "bigint", 0.9, 1 << 15, 1 << 20) is None
 
