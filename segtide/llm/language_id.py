@@ -63,13 +63,13 @@ def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    max_per_language: int = 400, buckets: int = 1 << 16, dim: int = 16, epochs: int = 6,
+    max_per_language: int = 400, held_per_language: int = 1_200, buckets: int = 1 << 16, dim: int = 16, epochs: int = 6,
     rate: float = 0.5, keep: float = 0.999, max_threshold: float = 0.5, seed: int = 7,
 ) -> LanguageModel:
-    """Fits the model on a bounded sample of labelled rows: about ``max_per_language`` of each language.
+    """Fits the model on a bounded sample of labelled rows: about ``max_per_language`` of each language, at most four fifths of its rows.
 
     The sample is by hash of identifier and text, so it is the same at every run, and
-    repeated rows count once; a fifth of it is held out to fit the softmax temperature and the rejection
+    repeated rows count once; about ``held_per_language`` more rows are held out to fit the softmax temperature and the rejection
     threshold: the ``1 - keep`` quantile of the confidence of rightly judged
     held-out texts, at most ``max_threshold``.
     """
@@ -78,39 +78,45 @@ def train(
     if not languages:
         return LanguageModel((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
     row = [F.col(id_col), F.col(text_col)]  # identifiers may be null or repeated
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(sample_bound(max_per_language, counts[k])).cast("long"))])
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(sample_bound(max_per_language + held_per_language, counts[k])).cast("long"))])
     sample = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(sample_rank(*row, seed=seed) < share[F.col(lang_col)])
     sample = sample.select(F.col(lang_col).alias("l"), F.xxhash64(*row, F.lit(seed + 1)).alias("r"), F.col(text_col).alias("t")).dropDuplicates(["l", "r"])
 
+    small, signed = (np.uint16, np.int16) if buckets <= 1 << 16 else (np.uint32, np.int32)
+
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, n = [], []
             for t in texts_of(batch, "t"):
                 buf, _ = _padded([t])
                 u, c = np.unique(subword_ids(buf, buckets)[1], return_counts=True)
-                ids.append(u.astype(np.int32))
+                ids.append(u.astype(small))
                 n.append(c.astype(np.int32))
-            return pa.record_batch([batch.column("l"), batch.column("r"), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["l", "r", "ids", "n"])
+            return pa.record_batch([batch.column("l"), batch.column("r"), pa.array([i.view(signed) for i in ids], pa.list_(pa.from_numpy_dtype(signed))), pa.array(n, pa.list_(pa.int32()))], names=["l", "r", "ids", "n"])
         return step
 
     rows = map_batches(
-        sample, make, "l string, r long, ids array<int>, n array<int>",
+        sample, make, f"l string, r long, ids array<{'short' if buckets <= 1 << 16 else 'int'}>, n array<int>",
     ).toArrow().sort_by([("r", "ascending"), ("l", "ascending")])
     label = np.array([languages.index(x) for x in rows.column("l").to_pylist()], dtype=np.int64)
-    ids = [np.asarray(x.values) for x in rows.column("ids")]
+    ids = [np.asarray(x.values).view(small).astype(np.int64) for x in rows.column("ids")]
     cnt = [np.asarray(x.values, dtype=np.float32) for x in rows.column("n")]
-    return fit(ids, cnt, label, languages, buckets=buckets, dim=dim, epochs=epochs, rate=rate, keep=keep, max_threshold=max_threshold, seed=seed)
+    return fit(ids, cnt, label, languages, most=max_per_language, buckets=buckets, dim=dim, epochs=epochs, rate=rate, keep=keep, max_threshold=max_threshold, seed=seed)
 
 
-def fit(ids, cnt, label, languages, *, buckets, dim, epochs, rate, keep, max_threshold, seed) -> LanguageModel:
+def fit(ids, cnt, label, languages, *, most, buckets, dim, epochs, rate, keep, max_threshold, seed) -> LanguageModel:
     """SGD over (subword ids, counts) rows in NumPy; also learns from thinned rows, as short texts look."""
     rng = np.random.default_rng(seed)
     k = len(languages)
     E = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     Wt, b = np.zeros((dim, k), np.float32), np.zeros(k, np.float32)
     usable = [i for i in range(len(ids)) if len(ids[i])]
-    train_rows = [i for n, i in enumerate(usable) if n % 5] or usable
-    held = [i for n, i in enumerate(usable) if n % 5 == 0]
+    train_rows, held = [], []
+    for language in range(k):  # spread evenly over the rows of each
+        mine = [i for i in usable if label[i] == language]
+        t = min(most, -(-4 * len(mine) // 5))
+        for n, i in enumerate(mine):
+            (train_rows if (n + 1) * t // len(mine) > n * t // len(mine) else held).append(i)
 
     def soft(z):
         z = np.exp(z - z.max())

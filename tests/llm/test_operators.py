@@ -183,7 +183,7 @@ def test_outliers_edges(spark):
     out = outliers.reject(d).collect()
     by = {r["doc_id"]: r for r in out}
     assert len(out) == len(rows) and not by[900]["kept"] and not by[901]["kept"] and by[901]["distance"] is None and not by[902]["kept"]
-    assert by[903]["kept"] and by[903]["distance"] is None
+    assert by[903]["kept"] and by[903]["distance"] < 8  # judged by all rows
     assert sum(by[i]["kept"] for i in range(240)) >= 238
     assert outliers.reject(d.limit(0)).count() == 0
 
