@@ -82,6 +82,12 @@ def test_batch_search_query_against_brute_force(spark, tmp_path):
     assert len(expected) > 40 and found(queries.batch_search(spark, str(tmp_path))) == sorted(expected)
 
 
+def test_the_widened_search_query_is_widened(spark):
+    index = SegmentIndex.build(sequences(spark, [(1, ["the", "of", "and", "x"]), (2, ["the", "and", "and"])]))
+    rows, metrics = index.searcher(queries._WIDE).search_with_metrics(["the", "of", "and"], SearchParams(3.0))
+    assert metrics.adjusted_eta == 1.125 and (1, 0, 3, 0.0) in found(rows) and (2, 0, 3, 1.125) in found(rows)
+
+
 def test_null_tokens_take_a_place_and_equal_nothing(spark):
     index = SegmentIndex.build(sequences(spark, [(1, ["a", None, "b"]), (2, [None, None])]))
     assert found(index.vocabulary) == [("a", 1), ("b", 1)]
