@@ -241,6 +241,34 @@ def test_simhash_groups(spark):
     assert near_dup.find_duplicates(d.limit(0)).count() == 0
 
 
+def test_simhash_groups_hold_every_pair_within_the_distance(spark):
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for _ in range(120):  # copies of which so much is changed that their signatures are about 17 bits apart
+        t = prose(rng, words, 150).split()
+        rows.append((len(rows), " ".join(t), "en", "s"))
+        for _ in range(3):
+            other = list(t)
+            for k in rng.sample(range(150), 9):
+                other[k] = rng.choice(words)
+            rows.append((len(rows), " ".join(other), "en", "s"))
+    sig, _ = near_dup.signatures([r[1] for r in rows])
+    far = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2)
+    edges = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if far[i, j] <= 17]
+    assert sum(14 <= far[i, j] for i, j in edges) > 100
+    root = components_of(len(rows), edges)
+    assert sorted(tuple(r) for r in near_dup.find_duplicates(docs(spark, rows)).collect()) == [(i, r) for i, r in enumerate(root) if r != i]
+
+
+def test_few_close_pairs_of_a_long_run_are_all_found():
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 1 << 63, (3000, 2)).astype(np.uint64)
+    sig[2990:] = sig[:10] ^ np.uint64(0b10101)
+    edges, dense = near_dup.run_edges(np.zeros(3000, np.int64), sig, 12)
+    assert sorted(map(tuple, edges.tolist())) == [(i, 2990 + i) for i in range(10)] and not dense.any()
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 260)]
