@@ -302,6 +302,27 @@ def test_edit_distance():
     assert [edit._one(a, b, m) for a, b, m in zip(A, B, M) if a] == [e for a, e in zip(A, E) if a]
 
 
+def test_a_wide_band_does_not_widen_a_batch(monkeypatch):
+    rng = random.Random(6)
+    A, B, M = [], [], []
+    for n in (300, 700, 1100) * 60:
+        a = "".join(rng.choice("abcdefgh") for _ in range(n))
+        b = list(a)
+        for _ in range(rng.choice([5, 20, n // 9, n // 5])):
+            b[rng.randrange(n)] = rng.choice("xyz")
+        A, B, M = A + [a], B + ["".join(b)], M + [rng.choice([n // 8, n - 10])]
+    batch, bands = edit._batch, []
+
+    def seen(a, b, most):
+        words = np.array([-(-len(x) // 64) for x in a])
+        bands.append(np.minimum(words, 2 + most // 64))
+        return batch(a, b, most)
+
+    monkeypatch.setattr(edit, "_batch", seen)
+    assert edit.within(A, B, np.array(M)).tolist() == [edit._one(a, b, m) for a, b, m in zip(A, B, M)]
+    assert bands and all(x.max() < 2 * x.min() for x in bands)
+
+
 def test_fuzzy_lines(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
