@@ -99,8 +99,9 @@ def train(
         sample, make, f"l string, r long, ids array<{'short' if buckets <= 1 << 16 else 'int'}>, n array<int>",
     ).toArrow().sort_by([("r", "ascending"), ("l", "ascending")])
     label = np.array([languages.index(x) for x in rows.column("l").to_pylist()], dtype=np.int64)
-    ids = [np.asarray(x.values).view(small).astype(np.int64) for x in rows.column("ids")]
-    cnt = [np.asarray(x.values, dtype=np.float32) for x in rows.column("n")]
+    # views of the table's buffers: numbers are widened row by row, so the sample is in memory once
+    ids = [np.asarray(x.values).view(small) for x in rows.column("ids")]
+    cnt = [np.asarray(x.values) for x in rows.column("n")]
     return fit(ids, cnt, label, languages, most=max_per_language, buckets=buckets, dim=dim, epochs=epochs, rate=rate, keep=keep, max_threshold=max_threshold, seed=seed)
 
 
@@ -126,7 +127,7 @@ def fit(ids, cnt, label, languages, *, most, buckets, dim, epochs, rate, keep, m
     for _ in range(epochs):
         for i in rng.permutation(train_rows):
             for thin in (False, True):
-                u, c = ids[i], cnt[i]
+                u, c = ids[i], cnt[i].astype(np.float32)
                 if thin and len(u) > 24:
                     pick = rng.choice(len(u), 24, replace=False)
                     u, c = u[pick], np.ones(24, np.float32)
@@ -141,7 +142,8 @@ def fit(ids, cnt, label, languages, *, most, buckets, dim, epochs, rate, keep, m
                 E[u] -= lr * np.float32(min(len(u), 64)) * np.outer(x, back)
                 done += 1
     table = E @ Wt
-    z = np.array([(cnt[i] / cnt[i].sum()) @ table[ids[i]] + b for i in held], dtype=np.float64).reshape(-1, k)
+    held_counts = (cnt[i].astype(np.float32) for i in held)
+    z = np.array([(c / c.sum()) @ table[ids[i]] + b for i, c in zip(held, held_counts)], dtype=np.float64).reshape(-1, k)
     y = label[held]
     temperature, threshold = 1.0, max_threshold
     if len(held):

@@ -335,6 +335,13 @@ def test_very_long_lines(spark):
     assert out == {1: rows[0][1], 2: "", 3: rows[2][1], 4: rows[3][1]}
 
 
+def test_the_language_sample_is_in_the_drivers_memory_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda ids, cnt, *rest, **options: seen.extend([*ids, *cnt]))
+    language_id.train(docs(spark, [(i, f"some words of row {i}", "en", "s") for i in range(40)]))
+    assert len(seen) > 40 and not any(x.flags.owndata for x in seen)
+
+
 # ---------------------------------------------------------------- packing, URLs, the pipeline
 
 
