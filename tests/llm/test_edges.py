@@ -342,6 +342,26 @@ def test_the_language_sample_is_in_the_drivers_memory_once(spark, monkeypatch):
     assert len(seen) > 40 and not any(x.flags.owndata for x in seen)
 
 
+def test_the_pipeline_keeps_one_document_of_each_pair_within_the_distance(spark):
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for _ in range(150):
+        t = prose(rng, words, 150).split()
+        other = list(t)
+        for k in rng.sample(range(150), 9):
+            other[k] = rng.choice(words)
+        rows += [(len(rows), " ".join(t), "en", "s"), (len(rows) + 1, " ".join(other), "en", "s")]
+    sig, _ = near_dup.signatures([r[1] for r in rows])
+    far = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2)
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if far[i, j] <= 17]
+    assert sum(far[i, j] >= 14 for i, j in close) > 20
+    root = components_of(len(rows), close)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs(spark, rows), "").collect()) == sorted(set(root))
+
+
 # ---------------------------------------------------------------- packing, URLs, the pipeline
 
 
