@@ -362,6 +362,17 @@ def test_the_pipeline_keeps_one_document_of_each_pair_within_the_distance(spark)
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs(spark, rows), "").collect()) == sorted(set(root))
 
 
+def test_rows_that_repeat_an_identifier_link_what_is_near_to_any_of_them(spark):
+    import corpus_pipeline
+
+    rng = random.Random(20)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    x, y, z, other = (prose(rng, words, 60) for _ in range(4))
+    d = docs(spark, [(1, x, "en", "s"), (5, x, "en", "s"), (5, y, "en", "s"), (7, y, "en", "s"), (7, z, "en", "s"), (3, z, "en", "s"), (8, other, "en", "s"), (8, other, "en", "s"), (9, None, "en", "s")])
+    assert sorted(tuple(r) for r in near_dup.find_duplicates(d).collect()) == [(3, 1), (5, 1), (7, 1)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, d, "").collect()) == [1, 8, 8, 9]
+
+
 # ---------------------------------------------------------------- packing, URLs, the pipeline
 
 
