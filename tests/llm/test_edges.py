@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segtide.llm import common, language_id, line_dedup, near_dup, outliers, packing, quality_classifier, toxicity, url_filter
+from segtide.llm import common, edit, language_id, line_dedup, near_dup, outliers, packing, quality_classifier, toxicity, url_filter
 
 from test_operators import DE, EN, components_of, docs, lev, prose
 
@@ -373,6 +373,24 @@ def test_rows_that_repeat_an_identifier_link_what_is_near_to_any_of_them(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, d, "").collect()) == [1, 8, 8, 9]
 
 
+def test_pairs_in_which_few_words_differ_need_no_matrix(monkeypatch):
+    rng = random.Random(21)
+    for _ in range(2000):
+        a = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 9))]
+        b = [w for w in a if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 3)):
+            b.insert(rng.randint(0, len(b)), rng.choice(["", "a", "bb", "aba"]))
+        x, y = " ".join(a), " ".join(b)
+        d = lev(x, y)
+        assert not edit._few_words_differ(x, y, d - 1)
+        assert edit.within([x], [y], np.array([d])).all()
+    monkeypatch.setattr(edit, "_batch", None)
+    monkeypatch.setattr(edit, "_one", None)
+    words = [f"word{i:04}" for i in range(400)]
+    other = ["another" if i % 40 == 7 else w for i, w in enumerate(words) if i % 90 != 3]
+    assert edit.within([" ".join(words)], [" ".join(other)], np.array([200])).all()
+
+
 # ---------------------------------------------------------------- packing, URLs, the pipeline
 
 
