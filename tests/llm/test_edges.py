@@ -391,6 +391,36 @@ def test_pairs_in_which_few_words_differ_need_no_matrix(monkeypatch):
     assert edit.within([" ".join(words)], [" ".join(other)], np.array([200])).all()
 
 
+def test_a_long_text_leaves_the_others_of_its_batch_together(monkeypatch):
+    rng = random.Random(22)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    a, b = ([prose(rng, words, n) for n in [270] * 60 + [330]] for _ in range(2))
+    alone, one = [], edit._one
+    monkeypatch.setattr(edit, "_one", lambda x, y, most: alone.append(len(x)) or one(x, y, most))
+    most = np.array([int(0.15 * max(len(x), len(y))) for x, y in zip(a, b)])
+    assert edit.within(a, b, most).tolist() == [one(x, y, k) for x, y, k in zip(a, b, most.tolist())]
+    assert len(a[0]) < 2048 < len(a[-1]) and len(alone) <= 1
+
+
+def test_equal_lines_have_one_sketch_and_their_first_occurrence(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    lines = [prose(rng, words, 12) for _ in range(5)]
+    texts = {i: "\n".join([lines[i % 5], "see also", lines[i * 3 % 5].upper()]) for i in range(40)}
+    d = docs(spark, [(i, t, "en", "s") for i, t in texts.items()] + [(3, texts[3], "en", "s")])
+    nodes = line_dedup._nodes(line_dedup._lines(d, "doc_id", "text", 5, True))
+    assert "Aggregate" not in nodes._jdf.queryExecution().executedPlan().toString()
+    got = nodes.collect()
+    first = {}
+    for i, t in sorted(texts.items(), reverse=True):
+        for n, line in reversed(list(enumerate(t.lower().split("\n")))):
+            first[line] = (i, n)
+    assert len(got) == 41 * 3 and {r["node"]: tuple(r["first"]) for r in got} == {r["node"]: first[texts[r["id"]].lower().split("\n")[r["line"]]] for r in got}
+    leads = [r for r in got if r["lead"]]
+    assert sorted(tuple(r["first"]) for r in leads) == sorted(first.values()) and len({r["node"] for r in got}) == len(leads)
+    assert all((r["xs0"] is not None) == (r["lead"] and r["first"][1] != 1) for r in got)
+
+
 # ---------------------------------------------------------------- packing, URLs, the pipeline
 
 
