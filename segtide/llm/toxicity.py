@@ -253,7 +253,7 @@ def learn_lexicon(
     """
     scratch = Scratch(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, {1: max_toxic, 0: max_clean}, id_col=id_col, text_col=text_col, seed=seed)
-    words = sample.select("y", F.expr(r"regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+', 0)").alias("w"))
+    words = sample.select("y", F.array_remove(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), "").alias("w"))
     one = words.select("y", F.explode(F.expr("transform(w, (x, i) -> struct(x AS word, xxhash64(get(w, i - 1), get(w, i + 1)) AS c))")).alias("e"))
     counts = one.select("y", "e.word", "e.c").distinct().groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     counts = scratch.write(counts.where("length(word) BETWEEN 2 AND 40"), "words")
