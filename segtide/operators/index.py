@@ -48,7 +48,7 @@ def put_in_place(spark: SparkSession, part: str, path: str) -> None:
 
 @dataclass
 class SegmentIndex:
-    """``corpus`` (seq_id, tokens), ``vocabulary`` (token, frequency), ``postings`` (token, seq_id, pos)."""
+    """``corpus`` (seq_id, tokens), ``vocabulary`` (token, frequency), ``postings`` (token, seq_id, pos); ``inverted`` where postings are saved, sorted by token."""
 
     spark: SparkSession
     corpus: DataFrame
@@ -58,6 +58,7 @@ class SegmentIndex:
     tokenizer: str | None = None
     total_tokens: int | None = None
     vocabulary_size: int | None = None
+    inverted: bool = False
 
     @classmethod
     def build(cls, sequences: DataFrame, id_col: str = "seq_id", tokens_col: str = "tokens", tokenizer: str | None = None) -> "SegmentIndex":
@@ -108,6 +109,15 @@ class SegmentIndex:
         rows = named.withColumn("token", token).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.when(F.col("symbol").isNotNull(), F.struct("pos", "token")))).alias("t"))
         return rows.select("seq_id", F.transform("t", lambda x: x["token"]).alias("tokens"))
 
+    def with_vocabulary_at(self, path: str) -> "SegmentIndex":
+        """The same index over a vocabulary that is written to ``path``, or read from there if it is there already; corpus and postings stay views, so nothing of their size is moved."""
+        if not _exists(self.spark, path):
+            part = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.part"
+            self.vocabulary.write.parquet(part)
+            put_in_place(self.spark, part, path)
+        vocabulary = self.spark.read.schema(f"token {self.token_type}, frequency long").parquet(path)
+        return SegmentIndex(self.spark, self.corpus, vocabulary, self.postings, self.token_type, self.tokenizer)
+
     def alphabet(self) -> DataFrame:
         return self.vocabulary.select("token")
 
@@ -119,7 +129,8 @@ class SegmentIndex:
         corpus = self.spark.read.parquet(f"{part}/corpus")
         fresh = SegmentIndex.build(corpus, tokenizer=self.tokenizer)
         fresh.vocabulary.sortWithinPartitions("token").write.parquet(f"{part}/vocabulary")
-        fresh.postings.repartitionByRange("token").sortWithinPartitions("token", "seq_id", "pos").write.parquet(f"{part}/postings")
+        # by sequence too, so that a frequent token isn't one task's
+        fresh.postings.repartitionByRange("token", "seq_id").sortWithinPartitions("token", "seq_id", "pos").write.parquet(f"{part}/postings")
         row = self.spark.read.parquet(f"{part}/vocabulary").agg(F.coalesce(F.sum("frequency"), F.lit(0)), F.count("*")).first()
         meta = {"version": VERSION, "tokenizer": self.tokenizer, "token_type": self.token_type, "sequence_count": corpus.count(), "total_tokens": int(row[0]), "vocabulary_size": int(row[1])}
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{part}/metadata")
@@ -144,7 +155,7 @@ class SegmentIndex:
             raise errors.InvalidFile(f"{path} lacks the tables {missing}")
         return cls(
             spark, spark.read.schema(f"seq_id long, tokens array<{t}>").parquet(f"{path}/corpus"), spark.read.schema(f"token {t}, frequency long").parquet(f"{path}/vocabulary"),
-            spark.read.schema(f"token {t}, seq_id long, pos int").parquet(f"{path}/postings"), t, meta["tokenizer"], meta["total_tokens"], meta["vocabulary_size"],
+            spark.read.schema(f"token {t}, seq_id long, pos int").parquet(f"{path}/postings"), t, meta["tokenizer"], meta["total_tokens"], meta["vocabulary_size"], True,
         )
 
     def problems(self) -> DataFrame:

@@ -4,7 +4,7 @@ Two ways to the sequences, with the same result: ``scan`` reads the corpus and
 skips, inside the JVM, sequences without an anchor token; ``postings`` finds the
 sequences by the sorted postings first and joins the corpus to them. The
 candidates are known exactly beforehand, so ``auto`` takes the postings where
-they are few. All matches of a sequence come from its row, so nothing is
+they are few and saved. All matches of a sequence come from its row, so nothing is
 shuffled to make them unique.
 """
 
@@ -127,7 +127,7 @@ class Searcher:
         if not tokens:
             return corpus.limit(0)
         if access == "auto":
-            access = "postings" if sum(p.generated_candidates for p in plans) <= FEW * self.index.count()[0] else "scan"
+            access = "postings" if self.index.inverted and sum(p.generated_candidates for p in plans) <= FEW * self.index.count()[0] else "scan"
         kind = self.index.token_type
         if access == "postings":
             if len(tokens) <= LISTED:

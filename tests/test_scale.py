@@ -1,10 +1,20 @@
 """What must not grow faster than the input."""
 
+import os
 import time
 
 from pyspark.sql import functions as F
 
+from segtide.functions.costs import UnitCosts
 from segtide.functions.tokens import characters, flatten, whitespace
+from segtide.operators.index import SegmentIndex
+from segtide.plans.planner import SearchParams
+from segtide.queries import QUERIES
+from segtide.sources.shared import shared_dir
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_tasks_that_tokenise_side_by_side_do_not_hinder_each_other(spark):
@@ -30,3 +40,31 @@ def test_tokens_where_texts_begin_and_end(spark):
     assert [r[0] for r in got] == [[], [], ["a"], ["a"], ["x", "y"], ["a\x1cb"], ["\x1c"], ["é🎉", "z"], None, ["a"]]
     assert [r[1] for r in got] == [None if t is None else list(t) for t in odd]
     assert [r[2] for r in got] == [None if t is None else " ".join(t.split()) for t in odd]
+
+
+def test_searches_of_a_table_move_nothing_of_its_size(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * k) % 50}" for k in range(40)) + " the with of and x") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(16, "w0 w1 w2 w3 w4 w5"), (17, "the with of and x")]
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = shared_dir(spark).removeprefix("file:").replace("//", "/")
+    tables = lambda: {d for d, _, _ in os.walk(folder) if d.rsplit("/", 1)[-1] in ("corpus", "postings")}
+    before = tables()
+    assert {r["reason"]: r["candidates"] for r in QUERIES["declined_searches"](spark, str(tmp_path)).collect()} == {"SearchTooExpensive": 200, "ThresholdUnavailable": None}
+    for name in ("widened_search", "asymmetric_indel_search", "batch_search", "exact_segment_search"):
+        found = QUERIES[name](spark, str(tmp_path))
+        assert "rangepartitioning" not in plan_of(found) and plan_of(found).count("split(text") == 1, name
+        assert found.count() or name in ("asymmetric_indel_search", "exact_segment_search")
+    assert tables() == before
+
+
+def test_postings_of_a_frequent_token_are_many_tasks(spark, tmp_path):
+    index = SegmentIndex.build(spark.range(4000).select(F.col("id").alias("seq_id"), F.array_repeat(F.lit("the"), 20).alias("tokens")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        saved = index.save(str(tmp_path / "index"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [r["count"] for r in saved.postings.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 80_000 and max(sizes) < 40_000
+    assert saved.inverted and saved.searcher(UnitCosts()).search(["the", "the"], SearchParams(0.0), access="postings").count() == 4000 * 19
