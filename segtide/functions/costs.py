@@ -219,10 +219,25 @@ def normalized(vectors):
     return run(vectors)
 
 
-def cosine_rows(asked, vectors, block: int = 512):
+def unit_rows(vectors: pa.ListArray, dimension: int) -> np.ndarray:
+    """``unit_vector`` of each list, all in one pass; what is no vector of this dimension is left to it, for its error."""
+    flat = vectors.flatten()
+    if (vectors.value_lengths().to_numpy() == dimension).all() and not flat.null_count:
+        y = flat.to_numpy().astype(np.float32).reshape(-1, dimension).astype(np.float64)
+        norm = np.sqrt((y * y).sum(axis=1))
+        if np.isfinite(norm).all() and norm.all():
+            return (y / norm[:, None]).astype(np.float32)
+    return np.stack([unit_vector(v, dimension) for v in vectors.to_pylist()])
+
+
+#: Rows and columns of costs that are computed and returned at once.
+TILE = 512
+
+
+def cosine_rows(asked, vectors, block: int = 16 * TILE):
     """(query_token, token, cost) of all pairs of ``asked`` and ``vectors`` (token, embedding), computed on the executors.
 
-    ``asked`` is sent to them ``block`` by ``block``. Null tokens and vectors take no part.
+    ``asked`` is sent to them ``block`` by ``block``, and ``vectors`` is read once for each; costs are made in tiles. Null tokens and vectors take no part.
     """
     from pyspark.sql import functions as F
 
@@ -230,20 +245,29 @@ def cosine_rows(asked, vectors, block: int = 512):
     rows = asked.where("token IS NOT NULL AND embedding IS NOT NULL").toLocalIterator()
     out = None
     while part := [(r["token"], unit_vector(r["embedding"])) for r in itertools.islice(rows, block)]:
-        names, x = [t for t, _ in part], np.stack([v for _, v in part])
-        shared = vectors.sparkSession.sparkContext.broadcast((names, x))
+        shared = vectors.sparkSession.sparkContext.broadcast(([t for t, _ in part], np.stack([v for _, v in part])))
 
         def run(batches, shared=shared):
             names, x = shared.value
+            places: dict = {}
+            for i, t in enumerate(names):
+                places.setdefault(t, []).append(i)
+            names = pa.array(names)
             for batch in batches:
-                tokens = batch.column("token")
-                y = np.stack([unit_vector(v, x.shape[1]) for v in batch.column("embedding").to_pylist()])
-                for at in range(0, len(y), 512):
-                    d = np.clip(F32(1) - x @ y[at : at + 512].T, F32(0), F32(1)).astype(np.float32)
-                    here = tokens.slice(at, 512)
-                    d[np.array(names, dtype=object)[:, None] == np.array(here.to_pylist(), dtype=object)[None, :]] = 0
+                if not batch.num_rows:
+                    continue
+                tokens, y = batch.column("token"), unit_rows(batch.column("embedding"), x.shape[1])
+                same = [(i, j) for j, t in enumerate(tokens.to_pylist()) for i in places.get(t, ())]
+                own_i, own_j = np.array(same, np.int64).reshape(-1, 2).T
+                for at in range(0, len(y), TILE):
+                    here = tokens.slice(at, TILE)
                     n = len(here)
-                    yield pa.record_batch([pa.array(names).take(pa.array(np.repeat(np.arange(len(names)), n))), here.take(pa.array(np.tile(np.arange(n), len(names)))), pa.array(d.ravel())], names=["query_token", "token", "cost"])
+                    for lo in range(0, len(x), TILE):
+                        d = np.clip(F32(1) - x[lo : lo + TILE] @ y[at : at + TILE].T, F32(0), F32(1))
+                        own = (own_i >= lo) & (own_i < lo + TILE) & (own_j >= at) & (own_j < at + TILE)
+                        d[own_i[own] - lo, own_j[own] - at] = 0
+                        m = len(d)
+                        yield pa.record_batch([names.take(pa.array(np.repeat(np.arange(lo, lo + m), n))), here.take(pa.array(np.tile(np.arange(n), m))), pa.array(d.ravel())], names=["query_token", "token", "cost"])
 
         found = vectors.where("token IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, f"query_token {kind}, token {kind}, cost float")
         out = found if out is None else out.unionByName(found)

@@ -3,9 +3,10 @@
 import os
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from segtide.functions.costs import UnitCosts
+from segtide.functions.costs import UnitCosts, cosine_rows, unit_vector
 from segtide.functions.tokens import characters, flatten, whitespace
 from segtide.operators.index import SegmentIndex
 from segtide.plans.planner import SearchParams
@@ -68,3 +69,33 @@ def test_postings_of_a_frequent_token_are_many_tasks(spark, tmp_path):
     sizes = [r["count"] for r in saved.postings.groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 80_000 and max(sizes) < 40_000
     assert saved.inverted and saved.searcher(UnitCosts()).search(["the", "the"], SearchParams(0.0), access="postings").count() == 4000 * 19
+
+
+def test_cosine_costs_read_the_vectors_once_for_thousands_of_queries(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1300, 4)).astype(np.float32)
+    x[7] = x[3]
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "token long, embedding array<float>")
+    costs = cosine_rows(table.where("token < 1100"), table)
+    assert plan_of(costs).count("MapInArrow") == 1
+    rows = costs.toPandas()
+    got = np.full((1100, 1300), np.nan, np.float32)
+    got[rows.query_token, rows.token] = rows.cost
+    u = np.stack([unit_vector(v) for v in x])
+    want = np.clip(1 - u[:1100] @ u.T, 0, 1)
+    np.fill_diagonal(want, 0)
+    assert len(rows) == 1100 * 1300 and np.abs(got - want).max() < 1e-6 and (np.diag(got) == 0).all()
+
+
+def test_cosine_costs_are_rounded_as_sql_rounds(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.integers(-2, 3, 4)] if i % 3 else [1.0, float(i % 2), 0.0, 0.0]) for i in range(120)]
+    rows = [(i, v if any(v) else [1.0, 0.0, 0.0, 0.0]) for i, v in rows]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    all_of = spark.createDataFrame(rows, "token long, embedding array<float>")
+    want = cosine_rows(all_of.where("token % 20 = 0"), all_of).withColumn("cost", F.round(F.col("cost").cast("double"), 3))
+    got = QUERIES["cosine_costs"](spark, str(tmp_path))
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() == 720
+    # ties: single floats that are sixteenths
+    ties = spark.createDataFrame([(k / 16,) for k in range(17)], "c float").select(F.round(F.col("c").cast("double"), 3).alias("a"), (F.floor(F.col("c").cast("double") * 1000 + 0.5) / F.lit(1000.0)).alias("b"))
+    assert ties.where("a <> b").count() == 0
